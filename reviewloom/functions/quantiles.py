@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 VALUE = "_value"
@@ -43,43 +43,44 @@ def value_histogram(
     )
 
 
-def _ranks(total: Column, prob: float, interpolation: str) -> tuple[Column, Column, Column]:
-    """0-based lower rank, upper rank and the weight of the upper value."""
-    position = (total - 1) * F.lit(float(prob))
+def _ranks(prob: float, interpolation: str) -> tuple[str, str, str]:
+    """SQL for the 0-based lower rank, upper rank and the weight of the upper value."""
+    position = f"((_total - 1) * {float(prob)!r}D)"
     if interpolation == "linear":
-        low = F.floor(position)
-        return low, F.ceil(position), position - low
+        return f"floor{position}", f"ceil{position}", f"({position} - floor{position})"
     if interpolation == "nearest":
-        rank = F.floor(position + 0.5)
-        return rank, rank, F.lit(0.0)
+        rank = f"floor({position} + 0.5D)"
+        return rank, rank, "0D"
     raise ValueError(f"unknown interpolation: {interpolation}")
 
 
-def _holds(rank: Column) -> Column:
-    return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_counted"))
+def _holds(rank: str) -> str:
+    return f"(_before <= {rank} AND {rank} < _before + _counted)"
 
 
 def _wanted(probs: Sequence[float], interpolation: str) -> Column:
-    wanted = F.lit(False)
-    for prob in probs:
-        low, high, _ = _ranks(F.col("_total"), prob, interpolation)
-        wanted = wanted | _holds(low) | _holds(high)
-    return wanted
+    """Whether a row holds one of the wanted ranks."""
+    ranks = {rank for prob in probs for rank in _ranks(prob, interpolation)[:2]}
+    return F.expr(" OR ".join(_holds(rank) for rank in sorted(ranks)))
 
 
 def _picks(probs: Sequence[float], interpolation: str) -> list[Column]:
     """Aggregates that read the quantiles from ``_before``, ``_counted`` and ``_total``."""
     picks = []
     for i, prob in enumerate(probs):
-        low, high, weight = _ranks(F.col("_total"), prob, interpolation)
-        at_low = F.max(F.when(_holds(low), F.col(VALUE)))
-        at_high = F.max(F.when(_holds(high), F.col(VALUE)))
-        weight = F.max(weight)
-        between = at_low * (1 - weight) + at_high * weight
-        picks.append(F.when(weight == 0, at_low).otherwise(between).alias(f"_q{i}"))
+        low, high, weight = _ranks(prob, interpolation)
+        at_low = f"max(CASE WHEN {_holds(low)} THEN {VALUE} END)"
+        at_high = f"max(CASE WHEN {_holds(high)} THEN {VALUE} END)"
+        between = f"{at_low} * (1 - max({weight})) + {at_high} * max({weight})"
+        pick = f"CASE WHEN max({weight}) = 0 THEN {at_low} ELSE {between} END"
+        picks.append(F.expr(pick).alias(f"_q{i}"))
     return picks
 
 
+def _so_far(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def _slice_number() -> Column:
     """A whole number that never falls as the value rises."""
     value = F.col(VALUE)
@@ -104,7 +105,7 @@ def sliced_quantiles(
         .withColumn("_slice", _slice_number())
     )
     group = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = F.sum("_counted").over(group.orderBy("_slice")) - F.col("_counted")
+    before = F.sum("_counted").over(_so_far(group.orderBy("_slice"))) - F.col("_counted")
     targets = (
         sliced.groupBy(*keys, "_slice")
         .agg(F.sum("_counted").alias("_counted"))
@@ -116,14 +117,18 @@ def sliced_quantiles(
             "_total",
         )
     )
-    same = F.col("_slice") == F.col("_at__slice")
+    # Null-safe on every column: a plain equality would make the optimizer add
+    # not-null filters on one side, and the histogram could not be reused.
+    same = F.col("_slice").eqNullSafe(F.col("_at__slice"))
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(VALUE)
-    # The broadcast is bounded: at most two slices per group and quantile.
+    in_slice = _so_far(Window.partitionBy(*keys, "_slice").orderBy(VALUE))
+    # The broadcast is bounded: at most two slices per group and quantile. So are
+    # the rows behind it, which one shuffle by group brings together.
+    near = sliced.join(F.broadcast(targets), same)
+    near = near.repartition(*keys) if keys else near.repartition(1)
     return (
-        sliced.join(F.broadcast(targets), same)
-        .withColumn(
+        near.withColumn(
             "_before",
             F.col("_at__before") + F.sum("_counted").over(in_slice) - F.col("_counted"),
         )
@@ -146,7 +151,7 @@ def windowed_quantiles(
     """
     group = Window.partitionBy(*keys)
     counted = F.when(F.col(VALUE).isNotNull(), F.col(ROWS)).otherwise(0)
-    before = F.sum("_counted").over(group.orderBy(VALUE)) - F.col("_counted")
+    before = F.sum("_counted").over(_so_far(group.orderBy(VALUE))) - F.col("_counted")
     return (
         hist.withColumn("_counted", counted)
         .withColumn("_before", before)
@@ -154,19 +159,3 @@ def windowed_quantiles(
         .groupBy(*keys)
         .agg(*_picks(probs, interpolation), *aggregates)
     )
-
-
-def quantiles(
-    df: DataFrame,
-    column: str,
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    names: Sequence[str] | None = None,
-    interpolation: str = "linear",
-) -> DataFrame:
-    """Exact quantiles of a column, one row per group (few groups of any size)."""
-    names = names or [f"q{i}" for i in range(1, len(probs) + 1)]
-    found = sliced_quantiles(
-        value_histogram(df, F.col(column), keys), probs, keys, interpolation
-    )
-    return found.withColumnsRenamed({f"_q{i}": name for i, name in enumerate(names)})

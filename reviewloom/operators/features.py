@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.columns import days_between, flag, text_length, word_count
 from reviewloom.functions.frames import merge_by_key
-from reviewloom.operators.buckets import quantile_report
+from reviewloom.operators.summaries import few_medians
 
 # Length above which a text is extreme, upper day limits of the stages.
 EXTREME_LENGTH = 8000
@@ -36,12 +36,8 @@ def text_feature_stats(df: DataFrame) -> DataFrame:
         F.sum("extreme_text").alias("extreme_text_count"),
         F.avg("received_helpful_vote").alias("helpful_review_rate"),
     )
-    return merge_by_key(
-        [],
-        quantile_report(df, "review_length", {"median_review_length": 0.5}),
-        quantile_report(df, "review_word_count", {"median_word_count": 0.5}),
-        totals,
-    )
+    medians = {"median_review_length": "review_length", "median_word_count": "review_word_count"}
+    return merge_by_key([], few_medians(df, [], medians), totals)
 
 
 def longest_texts(

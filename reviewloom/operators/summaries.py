@@ -18,8 +18,9 @@ from reviewloom.functions.quantiles import (
 )
 from reviewloom.operators.buckets import (
     PLAYTIME_LABELS,
-    bucket_by_quantiles,
     bucket_order,
+    cut_points,
+    label_by_cuts,
 )
 
 # Groups with more rows than this take the path for groups of any size. At most
@@ -27,26 +28,46 @@ from reviewloom.operators.buckets import (
 HOT_ROWS = 5_000_000
 
 
-def _stacked(df: DataFrame, keys: Sequence[str], columns: Sequence[str], carry: Sequence[str]):
-    """One row per measure: ``_measure`` is its position, ``_in`` its value."""
+def _stacked(
+    df: DataFrame, keys: Sequence[str], medians: dict[str, str], carry: Sequence[str] = ()
+) -> tuple[DataFrame, list[str]]:
+    """The columns to take medians of as one column ``_in``, and the group keys.
+
+    Several columns become one row each, told apart by the key ``_measure``.
+    """
+    columns = list(medians.values())
     if len(columns) == 1:
-        return df.select(
-            *keys, *carry, F.lit(0).alias("_measure"), F.col(columns[0]).alias("_in")
-        )
-    measures = F.array(
-        *[
-            F.struct(F.lit(i).alias("_measure"), F.col(c).cast("double").alias("_in"))
-            for i, c in enumerate(columns)
-        ]
-    )
-    return df.select(*keys, *carry, F.inline(measures))
+        return df.select(*keys, *carry, F.col(columns[0]).alias("_in")), list(keys)
+    measures = [
+        F.struct(F.lit(i).alias("_measure"), F.col(c).cast("double").alias("_in"))
+        for i, c in enumerate(columns)
+    ]
+    return df.select(*keys, *carry, F.inline(F.array(*measures))), [*keys, "_measure"]
+
+
+def _unstacked(
+    df: DataFrame, keys: Sequence[str], medians: dict[str, str], others: Sequence[str] = ()
+) -> DataFrame:
+    """One row per group again, with a column for every median."""
+    if len(medians) == 1:
+        return df.withColumnRenamed("_q0", next(iter(medians)))
+    spread = [
+        F.max(F.when(F.col("_measure") == i, F.col("_q0"))).alias(name)
+        for i, name in enumerate(medians)
+    ]
+    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in others], *spread)
+
+
+def few_medians(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
+    """Exact medians for few groups of any size."""
+    stacked, by = _stacked(df, keys, medians)
+    hist = value_histogram(stacked, F.col("_in"), by)
+    return _unstacked(sliced_quantiles(hist, [0.5], by), keys, medians)
 
 
-def _spread(df: DataFrame, keys: Sequence[str], names: Sequence[str], others=()) -> DataFrame:
-    """Back to one row per group, with a column for every measure."""
+def _totals(df: DataFrame, keys: Sequence[str], rates: dict[str, str], count: str) -> DataFrame:
     return df.groupBy(*keys).agg(
-        *others,
-        *[F.max(F.when(F.col("_measure") == i, F.col("_q0"))).alias(n) for i, n in enumerate(names)],
+        F.count(F.lit(1)).alias(count), *[F.avg(c).alias(n) for n, c in rates.items()]
     )
 
 
@@ -58,16 +79,8 @@ def summarise_few(
     count: str = "review_count",
 ) -> DataFrame:
     """Count, rates and exact medians for few groups of any size."""
-    totals = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(count), *[F.avg(c).alias(n) for n, c in rates.items()]
-    )
-    stacked = _stacked(df, keys, list(medians.values()), [])
-    by_measure = [*keys, "_measure"]
-    middle = sliced_quantiles(
-        value_histogram(stacked, F.col("_in"), by_measure), [0.5], by_measure
-    )
-    order = [*keys, count, *rates, *medians]
-    return merge_by_key(keys, totals, _spread(middle, keys, list(medians))).select(*order)
+    merged = merge_by_key(keys, _totals(df, keys, rates, count), few_medians(df, keys, medians))
+    return merged.select(*keys, count, *rates, *medians)
 
 
 def summarise_many(
@@ -85,7 +98,6 @@ def summarise_many(
     larger ones are summarised by ``summarise_few``. If there are none, AQE
     drops that branch and the join against their keys while the query runs.
     """
-    by_measure = [*keys, "_measure"]
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -96,27 +108,23 @@ def summarise_many(
     for k in keys:
         is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
 
-    first = F.col("_measure") == 0
-    parts, combined = [], [F.sum(F.when(first, F.col(ROWS))).alias(count)]
-    for name, column in rates.items():
-        seen = F.when(first, F.col(column))
-        parts += [F.sum(seen).alias(f"_sum_{name}"), F.count(seen).alias(f"_count_{name}")]
-        rate = F.sum(f"_sum_{name}") / F.nullif(F.sum(f"_count_{name}"), F.lit(0))
+    flags = list(dict.fromkeys(rates.values()))
+    stacked, by = _stacked(df, keys, medians, flags)
+    sums = [F.sum(c).alias(f"_sum_{c}") for c in flags]
+    known = [F.count(c).alias(f"_known_{c}") for c in flags]
+    hist = value_histogram(stacked, F.col("_in"), by, [*sums, *known])
+    combined = [F.sum(ROWS).alias(count)]
+    for name, c in rates.items():
+        rate = F.sum(f"_sum_{c}") / F.nullif(F.sum(f"_known_{c}"), F.lit(0))
         combined.append(rate.alias(name))
-    stacked = _stacked(df, keys, list(medians.values()), list(dict.fromkeys(rates.values())))
-    hist = value_histogram(stacked, F.col("_in"), by_measure, parts)
     small = hist.join(F.broadcast(hot), is_hot, "left_anti")
-    small = windowed_quantiles(small, [0.5], by_measure, aggregates=combined)
-    if len(medians) == 1:
-        small = small.withColumnRenamed("_q0", next(iter(medians)))
-    else:
-        small = _spread(small, keys, list(medians), [F.max(c).alias(c) for c in [count, *rates]])
+    small = windowed_quantiles(small, [0.5], by, aggregates=combined)
+    small = _unstacked(small, keys, medians, [count, *rates])
 
     large = summarise_few(
         df.join(F.broadcast(hot), is_hot, "left_semi"), keys, rates, medians, count
     )
-    order = [*keys, count, *rates, *medians]
-    return small.select(*order).unionByName(large.select(*order))
+    return small.select(*large.columns).unionByName(large)
 
 
 def playtime_summary(
@@ -124,29 +132,31 @@ def playtime_summary(
     playtime: str = "playtime_hours_at_review",
     labels: Sequence[str] = PLAYTIME_LABELS,
     null_bucket: bool = True,
-    median_length: bool = False,
+    medians: dict[str, str] | None = None,
 ) -> DataFrame:
     """Reviews by playtime quartile: count, approval, median hours, helpful rate.
 
-    Rows come in bucket order. ``median_length`` adds the median review length.
+    Rows come in bucket order. ``medians`` adds the medians of further columns.
+    The cut-points and the median hours come from one histogram of playtime; the
+    reviews are read once more for the rates.
     """
-    labelled = bucket_by_quantiles(reviews, playtime, labels=labels, null_bucket=null_bucket)
+    key = "playtime_group"
+    rates = {"approval_rate": "voted_up", "helpful_review_rate": "received_helpful_vote"}
+    # Nulls leave here as well as in the quantiles, so that both share the shuffle.
+    hist = value_histogram(reviews, F.col(playtime)).where(F.col(VALUE).isNotNull())
+    cuts = cut_points(hist)
+    labelled = label_by_cuts(reviews, F.col(playtime), cuts, labels, key, null_bucket)
     if not null_bucket:
-        labelled = labelled.where(F.col("playtime_group").isNotNull())
-    medians = {"median_playtime_hours": playtime}
-    if median_length:
-        medians["median_review_length"] = "review_length"
-    summary = summarise_few(
-        labelled,
-        ["playtime_group"],
-        {"approval_rate": "voted_up", "helpful_review_rate": "received_helpful_vote"},
-        medians,
-    )
-    return (
-        summary.withColumn("_order", bucket_order("playtime_group", labels))
-        .orderBy("_order")
-        .drop("_order")
-    )
+        labelled = labelled.where(F.col(key).isNotNull())
+    middle = sliced_quantiles(label_by_cuts(hist, F.col(VALUE), cuts, labels, key), [0.5], [key])
+    frames = [
+        _totals(labelled, [key], rates, "review_count"),
+        middle.withColumnRenamed("_q0", "median_playtime_hours"),
+    ]
+    if medians:
+        frames.append(few_medians(labelled, [key], medians))
+    # At most one row per label: one partition sorts them all.
+    return merge_by_key([key], *frames).repartition(1).sortWithinPartitions(bucket_order(key, labels))
 
 
 _RATES = {
@@ -211,13 +221,15 @@ def flag_crosstab(df: DataFrame, first: str, second: str, count: str = "review_c
 
 def lag_stats(joined: DataFrame, days: str = "days_since_release") -> DataFrame:
     """Least, median and greatest day lag and the number of negative ones."""
-    ends = joined.agg(
-        F.min(days).alias("min_days"),
-        F.max(days).alias("max_days"),
-        F.count_if(F.col(days) < 0).alias("reviews_before_release"),
-    )
-    middle = sliced_quantiles(value_histogram(joined, F.col(days)), [0.5])
-    return merge_by_key([], ends, middle.select(F.col("_q0").alias("median_days"))).select(
+    hist = value_histogram(joined, F.col(days)).where(F.col(VALUE).isNotNull())
+    early = F.sum(F.when(F.col(VALUE) < 0, F.col(ROWS)))
+    ends = hist.agg(
+        F.min(VALUE).cast("bigint").alias("min_days"),
+        F.max(VALUE).cast("bigint").alias("max_days"),
+        F.coalesce(early, F.lit(0)).alias("reviews_before_release"),
+    )
+    middle = sliced_quantiles(hist, [0.5]).withColumnRenamed("_q0", "median_days")
+    return merge_by_key([], ends, middle).select(
         "min_days", "median_days", "max_days", "reviews_before_release"
     )
 

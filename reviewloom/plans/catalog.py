@@ -147,7 +147,18 @@ def playtime_quartile_summary_unlabelled_nulls(spark, sf_dir):
 
 @query
 def ordered_bucket_summary(spark, sf_dir):
-    return _round(summaries.playtime_summary(_text_reviews(spark, sf_dir), median_length=True))
+    return _round(
+        summaries.playtime_summary(
+            _text_reviews(spark, sf_dir), medians={"median_review_length": "review_length"}
+        )
+    )
+
+
+@query
+def playtime_quartile_summary_votes(spark, sf_dir):
+    medians = {"median_helpful_votes": "votes_up", "median_review_length": "review_length"}
+    reviews = features.text_features(_line_reviews(spark, sf_dir))
+    return _round(summaries.playtime_summary(reviews, null_bucket=False, medians=medians))
 
 
 @query

@@ -12,7 +12,7 @@ LINES = """
 lines AS (
   SELECT l_partkey AS appid, l_orderkey AS order_id, {playtime} / 60.0 AS hours,
          CAST(l_returnflag <> 'R' AS BIGINT) AS voted_up,
-         CAST(l_linenumber - 1 > 0 AS BIGINT) AS helpful,
+         l_linenumber - 1 AS votes, CAST(l_linenumber - 1 > 0 AS BIGINT) AS helpful,
          CAST(l_linestatus = 'O' AS BIGINT) AS early,
          l_shipdate AS review_date,
          4 + length(CAST(l_orderkey AS VARCHAR)) AS review_length
@@ -106,7 +106,11 @@ def _lines(playtime: str = "l_quantity") -> str:
 UNTAXED_NULL = "(CASE WHEN l_tax <> 0 THEN l_quantity END)"
 
 
-def _quartiles(rows: str, source: str, length: bool = False, keep_nulls: bool = True) -> str:
+LENGTH = ", round(median(review_length), 6) AS median_review_length"
+VOTES = ", round(median(votes), 6) AS median_helpful_votes"
+
+
+def _quartiles(rows: str, source: str, medians: str = "", keep_nulls: bool = True) -> str:
     last = "ELSE 'Very High'" if keep_nulls else "WHEN hours > q3 THEN 'Very High'"
     return f"""{_with(rows)},
 cuts AS (
@@ -122,8 +126,7 @@ labelled AS (
 SELECT playtime_group, count(*) AS review_count,
        round(avg(voted_up), 6) AS approval_rate,
        round(avg(helpful), 6) AS helpful_review_rate,
-       round(median(hours), 6) AS median_playtime_hours
-       {", round(median(review_length), 6) AS median_review_length" if length else ""}
+       round(median(hours), 6) AS median_playtime_hours {medians}
 FROM labelled WHERE playtime_group IS NOT NULL
 GROUP BY playtime_group"""
 
@@ -134,8 +137,7 @@ SELECT {keys}, count(*) AS review_count,
        round(avg(voted_up), 6) AS approval_rate,
        round(avg(helpful), 6) AS helpful_review_rate,
        round(avg(early), 6) AS early_access_share,
-       round(median(hours), 6) AS median_playtime_hours
-       {", round(median(review_length), 6) AS median_review_length" if length else ""}
+       round(median(hours), 6) AS median_playtime_hours {LENGTH if length else ""}
 FROM {source} GROUP BY ALL"""
 
 
@@ -204,7 +206,10 @@ FROM happened""",
     "playtime_quartile_summary_unlabelled_nulls": _quartiles(
         _lines(UNTAXED_NULL), "lines", keep_nulls=False
     ),
-    "ordered_bucket_summary": _quartiles(TEXTS, "texts", length=True),
+    "ordered_bucket_summary": _quartiles(TEXTS, "texts", LENGTH),
+    "playtime_quartile_summary_votes": _quartiles(
+        _lines(), "lines", VOTES + LENGTH, keep_nulls=False
+    ),
     "playtime_cut_points": f"""{_with(_lines("l_extendedprice"))}
 SELECT round(quantile_cont(hours, 0.25), 6) AS q1, round(quantile_cont(hours, 0.5), 6) AS q2,
        round(quantile_cont(hours, 0.75), 6) AS q3
