@@ -43,16 +43,21 @@ def text_feature_stats(df: DataFrame) -> DataFrame:
 def longest_texts(
     df: DataFrame, tie_break: str, column: str = "review", k: int = 10, preview: int = 200
 ) -> DataFrame:
-    """The ``k`` longest texts with a preview of their start.
+    """The ``k`` longest texts with their sizes and a preview of their start.
 
-    Only the preview travels with the length, so each task keeps ``k`` short rows.
+    Texts are ranked by length alone; words are counted for the ``k`` winners only.
     """
-    return (
-        df.withColumn("review_preview", F.left(F.col(column), F.lit(preview)))
-        .drop(column)
+    winners = (
+        df.withColumn("review_length", text_length(F.col(column)))
         .orderBy(F.desc_nulls_last("review_length"), tie_break)
         .limit(k)
     )
+    return winners.withColumns(
+        {
+            "review_word_count": word_count(F.col(column)),
+            "review_preview": F.left(F.col(column), F.lit(preview)),
+        }
+    ).drop(column)
 
 
 def join_games(reviews: DataFrame, games: DataFrame) -> DataFrame:

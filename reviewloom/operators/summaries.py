@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.columns import month_start
@@ -22,6 +22,7 @@ from reviewloom.operators.buckets import (
     cut_points,
     label_by_cuts,
 )
+from reviewloom.sources.files import checkpointed
 
 # Groups with more rows than this take the path for groups of any size. At most
 # (rows of the table / HOT_ROWS) groups do, which bounds the broadcast of their keys.
@@ -71,6 +72,38 @@ def _totals(df: DataFrame, keys: Sequence[str], rates: dict[str, str], count: st
     )
 
 
+def rate_parts(rates: dict[str, str]) -> list[Column]:
+    """Aggregates that keep the rates of a histogram's columns computable."""
+    columns = list(dict.fromkeys(rates.values()))
+    return [F.sum(c).alias(f"_sum_{c}") for c in columns] + [
+        F.count(c).alias(f"_known_{c}") for c in columns
+    ]
+
+
+def rates_from_parts(rates: dict[str, str]) -> list[Column]:
+    """The rates of groups of histogram rows."""
+    return [
+        (F.sum(f"_sum_{c}") / F.nullif(F.sum(f"_known_{c}"), F.lit(0))).alias(name)
+        for name, c in rates.items()
+    ]
+
+
+def summarise_histogram(
+    hist: DataFrame,
+    keys: Sequence[str],
+    rates: dict[str, str],
+    median: str,
+    count: str = "review_count",
+) -> DataFrame:
+    """Count, rates and exact median per group of a histogram with ``rate_parts``.
+
+    For histograms that were written once and serve several results.
+    """
+    totals = hist.groupBy(*keys).agg(F.sum(ROWS).alias(count), *rates_from_parts(rates))
+    middle = sliced_quantiles(hist, [0.5], keys).withColumnRenamed("_q0", median)
+    return merge_by_key(keys, totals, middle).select(*keys, count, *rates, median)
+
+
 def summarise_few(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,15 +141,9 @@ def summarise_many(
     for k in keys:
         is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
 
-    flags = list(dict.fromkeys(rates.values()))
-    stacked, by = _stacked(df, keys, medians, flags)
-    sums = [F.sum(c).alias(f"_sum_{c}") for c in flags]
-    known = [F.count(c).alias(f"_known_{c}") for c in flags]
-    hist = value_histogram(stacked, F.col("_in"), by, [*sums, *known])
-    combined = [F.sum(ROWS).alias(count)]
-    for name, c in rates.items():
-        rate = F.sum(f"_sum_{c}") / F.nullif(F.sum(f"_known_{c}"), F.lit(0))
-        combined.append(rate.alias(name))
+    stacked, by = _stacked(df, keys, medians, list(dict.fromkeys(rates.values())))
+    hist = value_histogram(stacked, F.col("_in"), by, rate_parts(rates))
+    combined = [F.sum(ROWS).alias(count), *rates_from_parts(rates)]
     small = hist.join(F.broadcast(hot), is_hot, "left_anti")
     small = windowed_quantiles(small, [0.5], by, aggregates=combined)
     small = _unstacked(small, keys, medians, [count, *rates])
@@ -176,6 +203,36 @@ def lifecycle_summary(joined: DataFrame) -> DataFrame:
     )
 
 
+def playtime_report(reviews: DataFrame, playtime: str = "playtime_hours_at_review") -> DataFrame:
+    """``playtime_summary`` from a single scan, by way of a checkpointed histogram."""
+    key = "playtime_group"
+    rates = {name: _RATES[name] for name in ("approval_rate", "helpful_review_rate")}
+    hist = checkpointed(value_histogram(reviews, F.col(playtime), (), rate_parts(rates)))
+    labelled = label_by_cuts(hist, F.col(VALUE), cut_points(hist), output=key)
+    summary = summarise_histogram(labelled, [key], rates, "median_playtime_hours")
+    return summary.repartition(1).sortWithinPartitions(bucket_order(key))
+
+
+def lifecycle_report(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lifecycle summary and early-access cross-tab from a single scan and join."""
+    flags = ["before_release", "written_during_early_access"]
+    hist = checkpointed(
+        value_histogram(
+            joined,
+            F.col("playtime_hours_at_review"),
+            ["lifecycle_group", *flags],
+            rate_parts(_RATES),
+        )
+    )
+    summary = summarise_histogram(hist, ["lifecycle_group"], _RATES, "median_playtime_hours")
+    crosstab = (
+        hist.groupBy(*flags)
+        .agg(F.sum(ROWS).alias("review_count"))
+        .orderBy(*[F.asc_nulls_first(c) for c in flags])
+    )
+    return summary, crosstab
+
+
 def game_review_summary(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per game; needs ``review_length`` (see ``operators.features``)."""
     return summarise_many(

@@ -90,9 +90,8 @@ def text_feature_stats(spark, sf_dir):
 
 @query
 def longest_texts(spark, sf_dir):
-    texts = _text_reviews(spark, sf_dir).select(
-        "doc_id", "appid", "language", "review_length", "review_word_count", "review"
-    )
+    reviews = clean.clean_reviews(standins.document_reviews(spark, sf_dir), keep=["doc_id"])
+    texts = reviews.select("doc_id", "appid", "language", "review")
     return features.longest_texts(texts, tie_break="doc_id")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.functions.columns import EPOCH
 from reviewloom.sources.files import scan_parquet
 
 
@@ -21,11 +20,12 @@ def _number(column: Column) -> Column:
     return column.cast("double")
 
 
-def _epoch_seconds(timestamp: str) -> Column:
+def _epoch_seconds(timestamp: str, has_time: bool = True) -> Column:
     moment = F.col(timestamp)
-    days = F.datediff(F.to_date(moment), F.to_date(F.expr(EPOCH)))
-    of_day = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.floor(F.second(moment))
-    return (days.cast("bigint") * 86400 + of_day).cast("double")
+    seconds = F.unix_date(F.to_date(moment)).cast("bigint") * 86400
+    if has_time:
+        seconds = seconds + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+    return seconds.cast("double")
 
 
 def lineitem_reviews(
@@ -45,7 +45,7 @@ def lineitem_reviews(
         F.concat_ws(" ", "l_returnflag", "l_linestatus", F.col("l_orderkey").cast("string")).alias(
             "review"
         ),
-        _epoch_seconds("l_shipdate").alias("timestamp_created"),
+        _epoch_seconds("l_shipdate", has_time=False).alias("timestamp_created"),
         _number(F.col("l_returnflag") != "R").alias("voted_up"),
         _number(F.col("l_linenumber") - 1).alias("votes_up"),
         F.col("l_discount").alias("weighted_vote_score"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,24 @@ def scan_parquet(
     return df.select(*columns) if columns else df
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute a frame once, in the shared folder the cluster names for checkpoints.
+
+    For frames much smaller than their input that several results are made of;
+    the copy outlives the executors that made it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def write_parquet(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), single_file: bool = False
 ) -> None:

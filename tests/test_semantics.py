@@ -172,7 +172,7 @@ def test_network_tables(spark):
 
 def test_longest_texts(spark):
     df = spark.createDataFrame([(1, "a" * 300), (2, None), (3, "b" * 300), (4, "c")], "id int, review string")
-    rows = features.longest_texts(features.text_features(df), "id", k=2).collect()
+    rows = features.longest_texts(df, "id", k=2).collect()
     assert [(r.id, r.review_length, r.review_preview) for r in rows] == [
         (1, 300, "a" * 200),
         (3, 300, "b" * 200),
