@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions.columns import grouped_digits
@@ -15,6 +15,11 @@ from reviewloom.operators.buckets import quantile_report
 THRESHOLDS = (100, 500, 1000, 2500, 5000)
 STRONG_EDGE = 2500
 
+# Entities with more rows than this are not gathered into one row.
+WIDE_BASKET = 10_000
+# Tasks that share the pairs of such an entity.
+WIDE_PARTS = 64
+
 
 def explode_list(
     df: DataFrame, keys: Sequence[str] = ("appID", "name"), column: str = "genres", item: str = "genre"
@@ -46,28 +51,76 @@ def cooccurrence_edges(
     item: str = "genre",
     weight: str = "shared_games",
     dedupe: bool = False,
+    wide: int = WIDE_BASKET,
 ) -> DataFrame:
     """Unordered pairs of items of the same entity, with the number of joined rows.
 
     An item listed n times and a partner listed m times give n x m, or 1 with
-    ``dedupe``. Repeats are counted before the join, so an entity adds at most
-    one row per pair of its distinct items, and these are combined where they
-    arise, before they are shuffled.
+    ``dedupe``. Repeats are counted first, so an entity with very many rows is
+    reduced to its distinct items. Entities with the same items are then counted
+    together and pairs made once per distinct basket. The few entities with more
+    than ``wide`` rows are joined with themselves instead, in several tasks each.
     """
-    listed = long.where(F.col(key).isNotNull() & F.col(item).isNotNull()).groupBy(key, item)
-    times = F.lit(1).cast("bigint") if dedupe else F.count(F.lit(1))
-    listed = listed.agg(times.alias("_times"))
-    left, right = listed.alias("a"), listed.alias("b")
+    listed = (
+        long.where(F.col(key).isNotNull() & F.col(item).isNotNull())
+        .groupBy(F.col(key).alias("_key"), F.col(item).alias("_item"))
+        .agg((F.lit(1).cast("bigint") if dedupe else F.count(F.lit(1))).alias("_times"))
+    )
+    # Bounded: at most one key per ``wide`` rows. AQE drops both joins if there is none.
+    wide_keys = F.broadcast(
+        listed.groupBy(F.col("_key").alias("_wide"))
+        .agg(F.sum("_times").alias("_rows"))
+        .where(F.col("_rows") > wide)
+        .select("_wide")
+    )
+    is_wide = F.col("_key") == F.col("_wide")
+    pairs = _basket_pairs(listed.join(wide_keys, is_wide, "left_anti")).unionByName(
+        _wide_pairs(listed.join(wide_keys, is_wide, "left_semi"))
+    )
     return (
-        left.join(
-            right, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{item}") < F.col(f"b.{item}"))
-        )
-        .groupBy(F.col(f"a.{item}").alias(item), F.col(f"b.{item}").alias(f"{item}_2"))
-        .agg(F.sum(F.col("a._times") * F.col("b._times")).alias(weight))
+        pairs.groupBy(F.col("_item").alias(item), F.col("_item_2").alias(f"{item}_2"))
+        .agg(F.sum("_weight").alias(weight))
         .orderBy(F.desc(weight), item, f"{item}_2")
     )
 
 
+def _basket_pairs(listed: DataFrame) -> DataFrame:
+    """Weighted pairs of every distinct basket; a basket has a limited number of items."""
+    baskets = (
+        listed.groupBy("_key")
+        .agg(F.sort_array(F.collect_list(F.struct("_item", "_times"))).alias("_basket"))
+        .where(F.size("_basket") > 1)
+        .groupBy("_basket")
+        .agg(F.count(F.lit(1)).alias("_entities"))
+    )
+    later = F.filter("_basket", lambda other: other["_item"] > F.col("_first._item"))
+    return (
+        baskets.select("_basket", "_entities", F.explode("_basket").alias("_first"))
+        .select("_entities", "_first", F.explode(later).alias("_second"))
+        .select(
+            F.col("_first._item").alias("_item"),
+            F.col("_second._item").alias("_item_2"),
+            (F.col("_first._times") * F.col("_second._times") * F.col("_entities")).alias("_weight"),
+        )
+    )
+
+
+def _wide_pairs(listed: DataFrame) -> DataFrame:
+    """Weighted pairs of entities with very many items, split over tasks by the first item."""
+    part = F.pmod(F.hash("_item"), F.lit(WIDE_PARTS))
+    first = listed.select("_key", "_item", "_times", part.alias("_part"))
+    second = listed.select(
+        F.col("_key").alias("_key_2"),
+        F.col("_item").alias("_item_2"),
+        F.col("_times").alias("_times_2"),
+        F.explode(F.sequence(F.lit(0), F.lit(WIDE_PARTS - 1))).alias("_part_2"),
+    )
+    same = (F.col("_key") == F.col("_key_2")) & (F.col("_part") == F.col("_part_2"))
+    return first.join(second, same & (F.col("_item") < F.col("_item_2"))).select(
+        "_item", "_item_2", (F.col("_times") * F.col("_times_2")).alias("_weight")
+    )
+
+
 def list_edges(
     df: DataFrame, column: str = "genres", item: str = "genre", weight: str = "shared_games"
 ) -> DataFrame:
@@ -78,7 +131,7 @@ def list_edges(
     pairs are shuffled.
     """
     lists = (
-        df.select(F.array_sort(F.array_compact(column)).alias("_list"))
+        df.select(F.sort_array(F.array_compact(column)).alias("_list"))
         .where(F.size("_list") > 1)
         .groupBy("_list")
         .agg(F.count(F.lit(1)).alias("_entities"))

@@ -89,5 +89,7 @@ def test_edges_from_lists_and_from_long_form_agree(spark):
     expected = [("A", "B", 4), ("A", "C", 1), ("B", "C", 1)]
     assert [tuple(r) for r in list_edges(games).collect()] == expected
     assert [tuple(r) for r in cooccurrence_edges(long).collect()] == expected
-    deduped = cooccurrence_edges(long, dedupe=True).collect()
-    assert [tuple(r) for r in deduped] == [("A", "B", 3), ("A", "C", 1), ("B", "C", 1)]
+    for wide in (0, 2, 1000):
+        assert [tuple(r) for r in cooccurrence_edges(long, wide=wide).collect()] == expected
+        deduped = cooccurrence_edges(long, dedupe=True, wide=wide).collect()
+        assert [tuple(r) for r in deduped] == [("A", "B", 3), ("A", "C", 1), ("B", "C", 1)]
