@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 
 # Edge weights at which the part network is cut; other tables have other weights.
 PART_THRESHOLDS = (5, 10, 25, 50, 100)
-PART_STRONG = 25
+PART_STRONG = 40
 TEXT_QUANTILES = {"q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99, "q999": 0.999}
 PLAYTIME_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
 

@@ -341,22 +341,22 @@ SELECT v[1] AS min, (SELECT median(shared_games)::DOUBLE FROM edges) AS median,
        v[len(v)] AS max
 FROM sorted""",
     "strong_edges": f"""{_with(PART_GENRES, PART_EDGES)}
-SELECT genre, genre_2, shared_games FROM edges WHERE shared_games >= 25""",
+SELECT genre, genre_2, shared_games FROM edges WHERE shared_games >= 40""",
     "network_node_count": f"""{_with(PART_GENRES, PART_EDGES)}
 SELECT count(*) AS genres_in_network
-FROM (SELECT genre FROM edges WHERE shared_games >= 25
-      UNION SELECT genre_2 FROM edges WHERE shared_games >= 25)""",
+FROM (SELECT genre FROM edges WHERE shared_games >= 40
+      UNION SELECT genre_2 FROM edges WHERE shared_games >= 40)""",
     "network_nodes": f"""{_with(PART_GENRES, PART_EDGES)}
 SELECT genre AS id, genre AS label, genre || ': ' || format('{{:,}}', count(*)) || ' games' AS title,
        count(*) AS value
 FROM genres
-WHERE genre IN (SELECT genre FROM edges WHERE shared_games >= 25
-                UNION SELECT genre_2 FROM edges WHERE shared_games >= 25)
+WHERE genre IN (SELECT genre FROM edges WHERE shared_games >= 40
+                UNION SELECT genre_2 FROM edges WHERE shared_games >= 40)
 GROUP BY genre""",
     "network_edges": f"""{_with(PART_GENRES, PART_EDGES)}
 SELECT genre AS "from", genre_2 AS "to",
        format('{{:,}}', shared_games) || ' shared games' AS title, shared_games AS value
-FROM edges WHERE shared_games >= 25""",
+FROM edges WHERE shared_games >= 40""",
     "table_profile": """
 WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id))
 SELECT unnest(CAST([1, 2, 3, 4, 5, 6, 7] AS BIGINT[])) AS position,
