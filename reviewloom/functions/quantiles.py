@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from reviewloom.functions.columns import nan_to_null
+
 VALUE = "_value"
 ROWS = "_rows"
 
@@ -37,8 +39,11 @@ def value_histogram(
     keys: Sequence[str] = (),
     aggregates: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per (keys, value): row count in ``_rows`` plus the given aggregates."""
-    return df.groupBy(*keys, value.cast("double").alias(VALUE)).agg(
+    """One row per (keys, value): row count in ``_rows`` plus the given aggregates.
+
+    NaN counts as null.
+    """
+    return df.groupBy(*keys, nan_to_null(value).alias(VALUE)).agg(
         F.count(F.lit(1)).alias(ROWS), *aggregates
     )
 

@@ -328,6 +328,7 @@ def join_audit(spark, sf_dir):
 @query
 def join_coverage_rate(spark, sf_dir):
     reviews = _line_reviews(spark, sf_dir, appid="l_orderkey").select("appid")
+    # Every line has its order; the audit is against orders with a release date.
     games = clean.clean_games(standins.order_games(spark, sf_dir)).where(
         F.col("release_date").isNotNull()
     )

@@ -1,7 +1,7 @@
 """Batch jobs: raw Parquet in, result tables out.
 
-Run one with ``spark-submit -m reviewloom`` or ``python -m reviewloom``; see
-``reviewloom/__main__.py``.
+Run one with ``python -m reviewloom``, or on a cluster with ``spark-submit`` and
+the package as ``--py-files``; see ``reviewloom/__main__.py``.
 """
 
 from __future__ import annotations

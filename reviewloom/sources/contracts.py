@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Columns that are passed through as read may have any type.
+ANY = T.NullType()
+
 # The input columns in use and the types they arrive in.
 REVIEWS = T.StructType(
     [
@@ -24,7 +27,7 @@ REVIEWS = T.StructType(
         T.StructField("timestamp_created", T.DoubleType()),
         T.StructField("voted_up", T.DoubleType()),
         T.StructField("votes_up", T.DoubleType()),
-        T.StructField("weighted_vote_score", T.DoubleType()),
+        T.StructField("weighted_vote_score", ANY),
         T.StructField("steam_purchase", T.DoubleType()),
         T.StructField("received_for_free", T.DoubleType()),
         T.StructField("written_during_early_access", T.DoubleType()),
@@ -44,17 +47,17 @@ GAMES = T.StructType(
         T.StructField("name", T.StringType()),
         T.StructField("release_date", T.StringType()),
         T.StructField("estimated_owners", T.StringType()),
-        T.StructField("peak_ccu", T.LongType()),
-        T.StructField("price", T.DoubleType()),
-        T.StructField("windows", T.BooleanType()),
-        T.StructField("mac", T.BooleanType()),
-        T.StructField("linux", T.BooleanType()),
-        T.StructField("metacritic_score", T.LongType()),
-        T.StructField("positive", T.LongType()),
-        T.StructField("negative", T.LongType()),
-        T.StructField("recommendations", T.LongType()),
-        T.StructField("average_playtime_forever", T.LongType()),
-        T.StructField("median_playtime_forever", T.LongType()),
+        T.StructField("peak_ccu", ANY),
+        T.StructField("price", ANY),
+        T.StructField("windows", ANY),
+        T.StructField("mac", ANY),
+        T.StructField("linux", ANY),
+        T.StructField("metacritic_score", ANY),
+        T.StructField("positive", ANY),
+        T.StructField("negative", ANY),
+        T.StructField("recommendations", ANY),
+        T.StructField("average_playtime_forever", ANY),
+        T.StructField("median_playtime_forever", ANY),
         T.StructField("developers", T.ArrayType(T.StringType())),
         T.StructField("publishers", T.ArrayType(T.StringType())),
         T.StructField("categories", T.ArrayType(T.StringType())),
@@ -67,7 +70,13 @@ class ContractError(ValueError):
     """Input files do not carry the columns or kinds of types they should."""
 
 
+def _fits(expected: str, actual: str) -> bool:
+    return actual == expected or (expected == "any" and actual != "missing")
+
+
 def _kind(data_type: T.DataType) -> str:
+    if data_type == ANY:
+        return "any"
     if isinstance(data_type, T.NumericType):
         return "number"
     if isinstance(data_type, T.BooleanType):
@@ -99,11 +108,11 @@ def check_columns(df: DataFrame, contract: T.StructType) -> DataFrame:
     Numeric columns may have any numeric type; cleaning casts them.
     """
     found = {field.name: _kind(field.dataType) for field in df.schema}
-    wrong = [
-        f"{field.name}: {_kind(field.dataType)} expected, {found.get(field.name, 'missing')}"
-        for field in contract
-        if found.get(field.name) != _kind(field.dataType)
-    ]
+    wrong = []
+    for field in contract:
+        expected, actual = _kind(field.dataType), found.get(field.name, "missing")
+        if not _fits(expected, actual):
+            wrong.append(f"{field.name}: {expected} expected, {actual}")
     if wrong:
         raise ContractError("; ".join(wrong))
     return df
@@ -124,16 +133,18 @@ def footer_violations(
         for batch in batches:
             rows = {"file": [], "column_name": [], "expected": [], "found": []}
             for uri in batch["file"]:
-                filesystem, path = pafs.FileSystem.from_uri(uri)
+                # Spark's name for the S3 connector is not known to Arrow.
+                filesystem, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
                 with filesystem.open_input_file(path) as handle:
                     schema = pq.read_schema(handle)
                 kinds = {f.name: _arrow_kind(f.type) for f in schema}
                 for name, kind in expected:
-                    if kinds.get(name) != kind:
+                    actual = kinds.get(name, "missing")
+                    if not _fits(kind, actual):
                         rows["file"].append(uri)
                         rows["column_name"].append(name)
                         rows["expected"].append(kind)
-                        rows["found"].append(kinds.get(name, "missing"))
+                        rows["found"].append(actual)
             yield pd.DataFrame(rows, dtype="object")
 
     per_task = 500

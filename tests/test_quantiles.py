@@ -68,6 +68,12 @@ def test_nearest_rounds_half_up(spark):
     assert row.q == 293.0
 
 
+def test_nan_is_left_out(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (4.0,)], "v double")
+    row = quantile_report(df, "v", {"q": 0.5}, extremes=True).first()
+    assert (row.min, row.q, row.max) == (1.0, 2.0, 4.0)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantile_report(df, "v", {"q": 0.5}, extremes=True).first().asDict() == {

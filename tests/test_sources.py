@@ -26,6 +26,18 @@ def test_contract_accepts_any_number(spark):
         check_columns(df.select(F.lit("1").alias("a"), "b"), CONTRACT)
 
 
+def test_columns_that_are_passed_through_may_have_any_type(spark, sf_dir, tmp_path):
+    from reviewloom.plans import standins
+
+    raw = standins.lineitem_reviews(spark, sf_dir)
+    scores = raw.withColumn("weighted_vote_score", F.col("weighted_vote_score").cast("string"))
+    check_columns(scores, REVIEWS)
+    scores.write.parquet(f"{tmp_path}/r")
+    check_footers(spark, spark.read.parquet(f"{tmp_path}/r").inputFiles(), REVIEWS)
+    with pytest.raises(ContractError, match="weighted_vote_score: any expected, missing"):
+        check_columns(raw.drop("weighted_vote_score"), REVIEWS)
+
+
 def test_stand_ins_follow_the_contracts(spark, sf_dir):
     from reviewloom.plans import standins
 
