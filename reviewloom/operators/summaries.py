@@ -182,10 +182,23 @@ def playtime_summary(
     ]
     if medians:
         frames.append(few_medians(labelled, [key], medians))
+    summary = merge_by_key([key], *frames).select(*PLAYTIME_COLUMNS, *(medians or {}))
     # At most one row per label: one partition sorts them all.
-    return merge_by_key([key], *frames).repartition(1).sortWithinPartitions(bucket_order(key, labels))
+    return summary.repartition(1).sortWithinPartitions(bucket_order(key, labels))
 
 
+# Result columns in their published order.
+PLAYTIME_COLUMNS = [
+    "playtime_group",
+    "review_count",
+    "approval_rate",
+    "median_playtime_hours",
+    "helpful_review_rate",
+]
+LIFECYCLE_COLUMNS = ["lifecycle_group", *PLAYTIME_COLUMNS[1:], "early_access_share"]
+GAME_COLUMNS = ["appid", *LIFECYCLE_COLUMNS[1:], "median_review_length"]
+MONTH_COLUMNS = ["appid", "review_month", *LIFECYCLE_COLUMNS[1:]]
+
 _RATES = {
     "approval_rate": "voted_up",
     "helpful_review_rate": "received_helpful_vote",
@@ -200,7 +213,7 @@ def lifecycle_summary(joined: DataFrame) -> DataFrame:
         ["lifecycle_group"],
         _RATES,
         {"median_playtime_hours": "playtime_hours_at_review"},
-    )
+    ).select(*LIFECYCLE_COLUMNS)
 
 
 def playtime_report(reviews: DataFrame, playtime: str = "playtime_hours_at_review") -> DataFrame:
@@ -210,7 +223,7 @@ def playtime_report(reviews: DataFrame, playtime: str = "playtime_hours_at_revie
     hist = checkpointed(value_histogram(reviews, F.col(playtime), (), rate_parts(rates)))
     labelled = label_by_cuts(hist, F.col(VALUE), cut_points(hist), output=key)
     summary = summarise_histogram(labelled, [key], rates, "median_playtime_hours")
-    return summary.repartition(1).sortWithinPartitions(bucket_order(key))
+    return summary.select(*PLAYTIME_COLUMNS).repartition(1).sortWithinPartitions(bucket_order(key))
 
 
 def lifecycle_report(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +243,7 @@ def lifecycle_report(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.sum(ROWS).alias("review_count"))
         .orderBy(*[F.asc_nulls_first(c) for c in flags])
     )
-    return summary, crosstab
+    return summary.select(*LIFECYCLE_COLUMNS), crosstab
 
 
 def game_review_summary(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -244,7 +257,7 @@ def game_review_summary(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
             "median_review_length": "review_length",
         },
         hot_rows=hot_rows,
-    )
+    ).select(*GAME_COLUMNS)
 
 
 def game_monthly_reviews(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -255,7 +268,7 @@ def game_monthly_reviews(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
         _RATES,
         {"median_playtime_hours": "playtime_hours_at_review"},
         hot_rows=hot_rows,
-    )
+    ).select(*MONTH_COLUMNS)
 
 
 def lifecycle_counts(joined: DataFrame) -> DataFrame:

@@ -38,6 +38,14 @@ def test_playtime_and_lifecycle_jobs(spark, sf_dir, raw, tmp_path):
     _same(spark, sf_dir, f"{out}/q2_early_access_check", "early_access_crosstab")
     labels = [r.playtime_group for r in spark.read.parquet(f"{out}/q1_playtime_summary").collect()]
     assert labels == ["Low", "Moderate", "High", "Very High"]
+    for name, header in {
+        "q1_playtime_summary": "playtime_group,review_count,approval_rate,median_playtime_hours,"
+        "helpful_review_rate",
+        "q2_lifecycle_summary": "lifecycle_group,review_count,approval_rate,"
+        "median_playtime_hours,helpful_review_rate,early_access_share",
+        "q2_early_access_check": "before_release,written_during_early_access,review_count",
+    }.items():
+        assert ",".join(spark.read.csv(f"{out}/{name}_csv", header=True).columns) == header
     csv = spark.read.csv(f"{out}/q2_early_access_check_csv", header=True).collect()
     assert len(csv) == 6 and csv[0].before_release is None
 
