@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return scan_parquet(spark, f"{sf_dir}/{name}.parquet", columns or None)
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """A checkpointed frame, with a broadcast hint only if it was counted to be small."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and their n+1 offsets; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())

@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.caps import embedding_groups
 from reviewloom.llm.common import table
+from reviewloom.llm.neighbors import nearest_neighbors
+from reviewloom.llm.packing import pack
 from reviewloom.llm.simhash import simhash_groups
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_TOKENIZER)
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_nearest_neighbors": op3_nearest_neighbors,
+    "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
