@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm.caps import embedding_groups
 from reviewloom.llm.common import table
+from reviewloom.llm.language import identify
 from reviewloom.llm.neighbors import nearest_neighbors
 from reviewloom.llm.packing import pack
 from reviewloom.llm.simhash import simhash_groups
@@ -24,6 +25,10 @@ def op3_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_TOKENIZER)
 
@@ -35,6 +40,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_nearest_neighbors": op3_nearest_neighbors,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
