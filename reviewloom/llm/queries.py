@@ -12,11 +12,17 @@ from reviewloom.llm.common import table
 from reviewloom.llm.language import identify
 from reviewloom.llm.neighbors import nearest_neighbors
 from reviewloom.llm.packing import pack
+from reviewloom.llm.pii import span_digest
 from reviewloom.llm.simhash import simhash_groups
+from reviewloom.llm.urls import judge_urls
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -25,6 +31,13 @@ def op3_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(
+        table(spark, sf_dir, "pages", "page_id", "url"),
+        table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -38,8 +51,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_nearest_neighbors": op3_nearest_neighbors,
+    "op5_url_filter": op5_url_filter,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
