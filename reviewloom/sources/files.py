@@ -32,21 +32,30 @@ def scan_parquet(
     return df.select(*columns) if columns else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute a frame once, in the shared folder the cluster names for checkpoints.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
 
-    For frames much smaller than their input that several results are made of;
-    the copy outlives the executors that made it.
+    ``spark.checkpoint.dir`` names it. Only a local session, which is a single
+    machine, may go without and gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir must name a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute a frame once, in the shared folder.
+
+    For frames much smaller than their input that several results are made of;
+    the copy outlives the executors that made it.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
