@@ -159,22 +159,49 @@ def fit(labelled: DataFrame) -> Filters | None:
     return Filters.build(languages, common, *columns)
 
 
+def _judged(texts: pa.Array, filters: Filters) -> tuple[np.ndarray, np.ndarray]:
+    best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for low, grams, edges in ngrams(texts):
+        high = low + len(edges) - 1
+        best[low:high], score[low:high] = filters.judge(grams, edges)
+    return best, score
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     filters: Filters = shared.value
     for batch in batches:
-        best = np.zeros(batch.num_rows, np.int64)
-        score = np.zeros(batch.num_rows)
-        for low, grams, edges in ngrams(batch.column("text")):
-            high = low + len(edges) - 1
-            best[low:high], score[low:high] = filters.judge(grams, edges)
+        best, score = _judged(batch.column("text"), filters)
         known = batch.column("known").to_numpy(zero_copy_only=False)
-        names = pa.array([filters.languages[i] if k else UNKNOWN for i, k in zip(best, known)])
+        names = [filters.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("held_out"), names, pa.array(np.where(known, score, 0.0))],
+            [
+                batch.column("doc_id"),
+                batch.column("held_out"),
+                pa.array(names, pa.string()),
+                pa.array(np.where(known, score, 0.0)),
+            ],
             names=["doc_id", "held_out", "lang_pred", "score"],
         )
 
 
+def _labelled_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).alias("text"),
+        F.col(lang_col).cast("string").alias("lang"),
+    ).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+def _taught(rows: DataFrame) -> Filters | None:
+    usable = "not held_out and doc_id is not null and text is not null and lang is not null"
+    return fit(rows.filter(usable))
+
+
+def _has_letter(text: str):
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -187,22 +214,35 @@ def identify(
     score 0; equal counts go to the first language by name. Repeated rows are
     judged one by one. An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.col(lang_col).cast("string").alias("lang"),
-    ).withColumn(
-        "held_out",
-        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)),
-    )
-    filters = fit(rows.filter("not held_out and doc_id is not null and text is not null and lang is not null"))
+    rows = _labelled_rows(docs, id_col, text_col, lang_col)
+    filters = _taught(rows)
     if filters is None:
         return rows.select(
             "doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
         )
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known")
-    return rows.select("doc_id", "text", "held_out", letters).mapInArrow(
+    return rows.select("doc_id", "text", "held_out", _has_letter("text").alias("known")).mapInArrow(
         lambda batches: _predicted(batches, shared),
         "doc_id long, held_out boolean, lang_pred string, score double",
     )
+
+
+def in_known_language(
+    docs: DataFrame,
+    least: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language with at least the score ``least``."""
+    filters = _taught(_labelled_rows(docs, id_col, text_col, lang_col))
+    if filters is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, score = _judged(batch.column(text_col), shared.value)
+            yield batch.filter(pa.array(score >= least))
+
+    return docs.filter(_has_letter(text_col)).mapInArrow(kept, docs.schema)

@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from reviewloom.llm.caps import embedding_groups
 from reviewloom.llm.common import table
 from reviewloom.llm.language import identify
+from reviewloom.llm.lines import repeated_lines
 from reviewloom.llm.neighbors import nearest_neighbors
 from reviewloom.llm.packing import pack
+from reviewloom.llm.pieces import round_trip
 from reviewloom.llm.pii import span_digest
 from reviewloom.llm.simhash import simhash_groups
+from reviewloom.llm.suffix import repeated_bytes
 from reviewloom.llm.urls import judge_urls
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +35,10 @@ def op3_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), PIECE_MODEL)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(
         table(spark, sf_dir, "pages", "page_id", "url"),
@@ -38,6 +46,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -54,7 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_nearest_neighbors": op3_nearest_neighbors,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
