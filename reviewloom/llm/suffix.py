@@ -4,7 +4,7 @@ A suffix array of all bytes of a corpus is many times the corpus. Buckets of
 q-grams are enough here, because only strings of ``WINDOW`` bytes matter:
 
 1. Each window hands itself to one q-gram in it, the one with the smallest hash
-   (the leftmost of equals). Equal windows choose alike, so only about every 27th
+   (the leftmost of equals). Equal windows choose alike, so only about every 35th
    position becomes the pointer of a bucket. Its run of windows goes with it.
 2. Buckets of a single pointer are dropped: nothing in their windows repeats.
 3. What is left is refined by what follows at later offsets: the pointers of a
@@ -15,8 +15,9 @@ q-grams are enough here, because only strings of ``WINDOW`` bytes matter:
 
 Occurrences that repeat inside one task are resolved there against its first one.
 Buckets with many pointers and different surroundings go by whole windows instead
-of by q-gram, so that no task gets a common phrase. Shuffled are pointers (20
-bytes for 27 bytes of text), the surroundings of repeated ones, and the texts once.
+of by q-gram, so that no task gets a common phrase. Shuffled are pointers (about 14
+bytes for 35 bytes of text), the surroundings of repeated ones, and the texts once:
+both joins with the texts read the same exchange.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from reviewloom.llm.common import checkpointed, row_slices, small_side, text_bytes, whole_groups
 
 WINDOW = 100
-GRAM = 48
+GRAM = 32
 CHOICES = WINDOW - GRAM + 1  # q-grams in a window
 HOT = 1000  # pointers of a bucket from which it goes by whole windows
 PIECE_BITS = 20
@@ -154,8 +155,9 @@ def _pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hashes.copy()
         spare = seen == 0
         key[spare] = _mix(hashes[spare].view(np.uint64) + code[spare].view(np.uint64)).view(np.int64)
+        gram = np.where(spare, hashes, 0)  # else the key tells it
         yield pa.record_batch(
-            [pa.array(x) for x in (key, hashes, doc[row], code, seen)],
+            [pa.array(x) for x in (key, gram, doc[row], code, seen)],
             names=["key", "gram", "doc", "code", "seen"],
         )
 
@@ -168,6 +170,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(seen, starts)
         total = np.repeat(total, np.diff(np.append(starts, len(key))))
         kept = (total > 1) | (seen == 0)
+        gram = np.where(seen == 0, gram, key)
         yield pa.record_batch(
             [pa.array(x[kept]) for x in (gram, doc, code, total)], names=["gram", "doc", "code", "total"]
         )
@@ -361,11 +364,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).withColumn(
-        "mark", F.pmod(F.xxhash64("text"), F.lit(1 << 16))
+    every = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).withColumn(
+        "mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF).cast("long"))
     )
+    rows = every.filter("doc is not null")
     # Only to have candidates; the removal below reads every row.
-    long_enough = rows.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= WINDOW))
+    long_enough = rows.filter(F.octet_length("text") >= WINDOW)
     candidates = checkpointed(
         long_enough.mapInArrow(_pointed, "key long, gram long, doc long, code long, seen long")
         .repartition("key")
@@ -395,6 +399,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return (
         rows.join(spans, ["doc", "mark"], "left")
         .select("doc", "text", "spans")
+        .union(
+            every.filter("doc is null").select(
+                "doc", "text", F.lit(None).cast("array<struct<start:long,end:long>>")
+            )
+        )
         .mapInArrow(
             _cut,
             "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
