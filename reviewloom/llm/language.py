@@ -32,7 +32,7 @@ PROBES = 3
 TYPICAL = 0.25
 LEAST_SEEN = 2
 SAMPLE_DOCS = 4000
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])

@@ -32,7 +32,7 @@ from reviewloom.llm.common import checkpointed
 
 CAPACITY = 1024
 END_ID = 0
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 150_000
 # Fixed value: how this vocabulary's byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # White space as that pattern sees it.

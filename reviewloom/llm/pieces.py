@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 2_000_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PROBE = "ﬁ²Åé\t x 　  A­\n"
 
