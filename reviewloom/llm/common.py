@@ -7,6 +7,7 @@ cannot clash with anything.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.sources.files import checkpointed, scan_parquet
+from reviewloom.sources.files import checkpointed, scan_parquet, shared_folder
 
 # A table of keys is broadcast only after its rows were counted.
 BROADCAST_ROWS = 100_000
@@ -24,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return scan_parquet(spark, f"{sf_dir}/{name}.parquet", columns or None)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: compressed, and read again in parts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """A checkpointed frame, with a broadcast hint only if it was counted to be small."""
     df = checkpointed(df)

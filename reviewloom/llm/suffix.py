@@ -6,18 +6,19 @@ q-grams are enough here, because only strings of ``WINDOW`` bytes matter:
 1. Each window hands itself to one q-gram in it, the one with the smallest hash
    (the leftmost of equals). Equal windows choose alike, so only about every 35th
    position becomes the pointer of a bucket. Its run of windows goes with it.
-2. Buckets of a single pointer are dropped: nothing in their windows repeats.
-3. What is left is refined by what follows at later offsets: the pointers of a
-   bucket are sorted on the identifiers (rolling hashes) of all windows they own,
-   which are made from each other by reusing the prefix sums of the shared text.
-   The first of equal windows, by document and start, stays; the others give
-   the bytes to remove.
-
-Occurrences that repeat inside one task are resolved there against its first one.
-Buckets with many pointers and different surroundings go by whole windows instead
-of by q-gram, so that no task gets a common phrase. Shuffled are pointers (about 14
-bytes for 35 bytes of text), the surroundings of repeated ones, and the texts once:
-both joins with the texts read the same exchange.
+2. A bucket is refined by the identifier of what surrounds its pointers, all windows
+   they own. Pointers of equal surroundings are copies: the first, by document and
+   start, stays and the windows of the others are to be removed. A bucket that is
+   left with one pointer is done.
+3. The first pointers of what is left are refined by the identifiers (rolling
+   hashes) of every window they own, which are made from each other by reusing the
+   prefix sums of the shared text. Again the first of equal windows stays.
+
+Copies inside one batch are resolved there. Buckets with many different
+surroundings go by whole windows instead of by q-gram, so that no task gets a common
+phrase. Shuffled are pointers (about 24 bytes for 35 bytes of text), the surroundings
+of the few that step 2 leaves, and the texts once: both joins with the texts read the
+same exchange.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed, row_slices, small_side, text_bytes, whole_groups
+from reviewloom.llm.common import row_slices, small_side, text_bytes, whole_groups, written
 
 WINDOW = 100
 GRAM = 32
@@ -119,64 +120,147 @@ def unpack_code(code):
     return at, at - (code >> 23 & 127), (code >> 16 & 127) + 1, code & 0xFFFF
 
 
-def _long_text(data: np.ndarray):
-    """Pointers of one text, in overlapping pieces."""
-    parts = []
-    for start in range(0, max(len(data) - WINDOW + 1, 1), PIECE - WINDOW + 1):
-        piece = data[start : start + PIECE]
-        row, at, first, count, hashes = pointers(piece, np.array([0, len(piece)]))
-        parts.append((row, at + start, first + start, count, hashes))
-    return tuple(map(np.concatenate, zip(*parts)))
+def _surroundings_of(data: np.ndarray, at, first, count) -> np.ndarray:
+    """Identifiers of the bytes of each pointer's windows and its place in them."""
+    sums = _sums(data)
+    whole = (sums[first + count - 1 + WINDOW] - sums[first]) * _tables()[2][first]
+    return _mix(whole + ((at - first) << 7 | count).astype(np.uint64) * _U(_MULTIPLIER))
+
+
+def pack_class(surroundings: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """44 bits of the identifier, and how many different surroundings the batch has, below 2^20."""
+    return (
+        surroundings >> _U(20) << _U(20) | np.minimum(seen, (1 << 20) - 1).astype(np.uint64)
+    ).view(np.int64)
 
 
 def _pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, code, seen): what repeats in a batch is known, and leaves its bucket."""
+    """(key, gram, doc, code, kind, until): one row for each bucket and surroundings of a batch.
+
+    The first row of a bucket is keyed by its q-gram and carries the number of
+    surroundings; the others are known to go on and are spread. Copies within the
+    batch become intervals to remove, ``until`` being their end.
+    """
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         doc, mark = (batch.column(c).to_numpy() for c in ("doc", "mark"))
         parts = []
         for low, high in row_slices(offsets, PIECE):
             own = data[offsets[low] : offsets[high]]
-            if len(own) > PIECE:
-                row, *found = _long_text(own)
-            else:
-                row, *found = pointers(own, offsets[low : high + 1] - offsets[low])
-            parts.append((row + low, *found))
+            edges = offsets[low : high + 1] - offsets[low]
+            # A longer text is cut so that every window lies in one piece.
+            for start in range(0, max(len(own) - WINDOW + 1, 1), PIECE - WINDOW + 1):
+                piece = own[start : start + PIECE]
+                if len(own) > PIECE:
+                    edges = np.array([0, len(piece)])
+                row, at, first, count, hashes = pointers(piece, edges)
+                base = edges[row]
+                around = _surroundings_of(piece, at + base, first + base, count)
+                parts.append((row + low, at + start, first + start, count, hashes, around))
+                if len(own) <= PIECE:
+                    break
         if not parts:
             continue
-        row, at, first, count, hashes = map(np.concatenate, zip(*parts))
-        code = pack_code(at, first, count, mark[row].astype(np.int64))
-        # The first pointer of a bucket stands for the batch; seen is 0 for the others.
-        _, head, inverse, times = np.unique(
-            hashes, return_index=True, return_inverse=True, return_counts=True
+        row, at, first, count, hashes, around = map(np.concatenate, zip(*parts))
+        owner, marks = doc[row], mark[row].astype(np.int64)
+        order = np.lexsort((at, owner, around, hashes))
+        hashes, around, owner, marks, at, first, count = (
+            x[order] for x in (hashes, around, owner, marks, at, first, count)
         )
-        seen = np.zeros(len(hashes), np.int64)
-        seen[head] = times
-        key = hashes.copy()
-        spare = seen == 0
-        key[spare] = _mix(hashes[spare].view(np.uint64) + code[spare].view(np.uint64)).view(np.int64)
-        gram = np.where(spare, hashes, 0)  # else the key tells it
+        new_gram = np.ones(len(hashes), bool)
+        new_gram[1:] = hashes[1:] != hashes[:-1]
+        new = new_gram.copy()
+        new[1:] |= around[1:] != around[:-1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        copy = (owner != owner[head]) | (at != at[head])
+        yield _intervals_out(*_merged(*_windows(owner[copy], marks[copy], first[copy], count[copy])))
+
+        # A repeated row stands where its document does; one of them is enough.
+        code = pack_code(at, first, count, marks)
+        kept = ~copy & (new | (marks != marks[head]))
+        gram_of = np.cumsum(new_gram) - 1
+        seen = np.bincount(gram_of[kept])[gram_of] * new_gram
+        kept, seen = np.flatnonzero(kept), seen.astype(np.int64)
+        spread = _mix(hashes.view(np.uint64) + code.view(np.uint64)).view(np.int64)
+        leads = seen[kept] > 0
         yield pa.record_batch(
-            [pa.array(x) for x in (key, gram, doc[row], code, seen)],
-            names=["key", "gram", "doc", "code", "seen"],
+            [
+                pa.array(np.where(leads, hashes[kept], spread[kept])),
+                pa.array(np.where(leads, 0, hashes[kept])),
+                pa.array(owner[kept]),
+                pa.array(code[kept]),
+                pa.array(pack_class(around[kept], seen[kept])),
+                pa.array(np.zeros(len(kept), np.int64)),
+            ],
+            names=_POINTER_NAMES,
         )
 
 
+_POINTER_NAMES = ["key", "gram", "doc", "code", "kind", "until"]
+_POINTERS = ", ".join(f"{name} long" for name in _POINTER_NAMES)
+
+
+def _windows(doc, mark, first, count):
+    """One line for each window."""
+    line = np.repeat(np.arange(len(doc)), count)
+    step = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    return doc[line], mark[line], first[line] + step
+
+
+def _intervals_out(doc, mark, start, end) -> pa.RecordBatch:
+    """Intervals to remove, as rows among pointers; spread by where they are."""
+    spread = _mix(doc.astype(np.uint64) * _U(_MULTIPLIER) + start.astype(np.uint64))
+    code = pack_code(start, start, np.ones(len(doc), np.int64), mark)
+    none = np.zeros(len(doc), np.int64)
+    columns = (spread.view(np.int64), none, doc, code, none, end)
+    return pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=_POINTER_NAMES)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pointers of buckets that hold more than one, with the bucket's size."""
+    """(gram, doc, code, total, until): copies as intervals, and what must be refined further."""
+    names = ["gram", "doc", "code", "total", "until"]
     for group in whole_groups(batches, "key"):
-        key, gram, doc, code, seen = (group.column(c).to_numpy() for c in group.column_names)
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        total = np.add.reduceat(seen, starts)
-        total = np.repeat(total, np.diff(np.append(starts, len(key))))
-        kept = (total > 1) | (seen == 0)
-        gram = np.where(seen == 0, gram, key)
+        key, gram, doc, code, kind, until = (group.column(c).to_numpy() for c in _POINTER_NAMES)
+        seen = kind & (1 << 20) - 1
+        lead = np.flatnonzero((until == 0) & (seen > 0))
+        rest = np.flatnonzero((until > 0) | (seen == 0))
         yield pa.record_batch(
-            [pa.array(x[kept]) for x in (gram, doc, code, total)], names=["gram", "doc", "code", "total"]
+            [pa.array(x[rest]) for x in (gram, doc, code, np.zeros_like(seen), until)], names=names
+        )
+        key, doc, code, kind, seen = (x[lead] for x in (key, doc, code, kind, seen))
+        around, at = kind >> 20, code >> 30
+        order = np.lexsort((at, doc, around, key))
+        key, doc, code, around, seen, at = (x[order] for x in (key, doc, code, around, seen, at))
+        new_key = np.ones(len(key), bool)
+        new_key[1:] = key[1:] != key[:-1]
+        new = new_key.copy()
+        new[1:] |= around[1:] != around[:-1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        copy = (doc != doc[head]) | (at != at[head])
+        bucket = np.cumsum(new_key) - 1
+        # More than one kind of surroundings, here or in a batch.
+        kinds = np.bincount(bucket, new) + np.bincount(bucket, seen - 1)
+        total = np.bincount(bucket, seen)[bucket].astype(np.int64)
+        mixed = (kinds > 1)[bucket] & ~copy if len(key) else copy
+        _, first, count, _ = unpack_code(code)
+        start_code = pack_code(first, first, np.ones(len(key), np.int64), code & 0xFFFF)
+        end = first + count - 1 + WINDOW
+        yield pa.record_batch(
+            [
+                pa.array(np.concatenate([x[mixed], y[copy]]))
+                for x, y in (
+                    (key, key),
+                    (doc, doc),
+                    (code, start_code),
+                    (total, total),
+                    (np.zeros_like(end), end),
+                )
+            ],
+            names=names,
         )
 
 
-def _merged(doc, mark, start) -> pa.RecordBatch:
+def _merged(doc, mark, start):
     """Intervals covered by the windows that start at ``start``."""
     order = np.lexsort((start, mark, doc))
     doc, mark, start = doc[order], mark[order], start[order]
@@ -230,10 +314,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["key", "doc", "code", "until", "part"],
         )
         if resolved:
-            doc, mark, first, count = np.array(resolved, np.int64).T
-            line = np.repeat(np.arange(len(doc)), count)
-            step = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
-            doc, mark, start, end = _merged(doc[line], mark[line], first[line] + step)
+            doc, mark, start, end = _merged(*_windows(*np.array(resolved, np.int64).T))
             code = pack_code(start, start, np.ones(len(doc), np.int64), mark)
             spread = _mix(doc.view(np.uint64) * _U(_MULTIPLIER) + start.view(np.uint64))
             yield pa.record_batch(
@@ -370,29 +451,37 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = every.filter("doc is not null")
     # Only to have candidates; the removal below reads every row.
     long_enough = rows.filter(F.octet_length("text") >= WINDOW)
-    candidates = checkpointed(
-        long_enough.mapInArrow(_pointed, "key long, gram long, doc long, code long, seen long")
+    found = written(
+        long_enough.mapInArrow(_pointed, _POINTERS)
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_repeated, "gram long, doc long, code long, total long")
+        .mapInArrow(_repeated, "gram long, doc long, code long, total long, until long")
     )
+    open_ = found.filter("until = 0")
     hot = small_side(
-        candidates.filter(F.col("total") > HOT).select("gram", F.lit(True).alias("hot")).distinct()
+        open_.filter(F.col("total") > HOT).select("gram", F.lit(True).alias("hot")).distinct()
     )
+    mark = F.col("code").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("mark")
     code = F.struct("code", F.coalesce("hot", F.lit(False)).alias("hot"))
     by_doc = (
-        candidates.join(hot, "gram", "left")
-        .withColumn("mark", F.col("code").bitwiseAND(F.lit(0xFFFF).cast("long")))
+        open_.join(hot, "gram", "left")
+        .select("doc", mark, code.alias("code"))
         .groupBy("doc", "mark")
-        .agg(F.collect_list(code).alias("codes"))
+        .agg(F.collect_list("code").alias("codes"))
     )
-    spans = (
+    refined = (
         by_doc.join(rows, ["doc", "mark"])
         .select("doc", "text", "codes")
         .mapInArrow(_surroundings, _SURROUNDED)
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_refined, "doc long, mark long, start long, end long")
+    )
+    copies = found.filter("until > 0").select(
+        "doc", mark, F.shiftright("code", 30).alias("start"), F.col("until").alias("end")
+    )
+    spans = (
+        copies.union(refined)
         .groupBy("doc", "mark")
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     )
