@@ -1,8 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a direction put together from one code of each of four blocks of
-coordinates (a random product code after a random rotation), so ``codes ** 4``
-directions need only ``4 * codes`` inner products. Every vector is list-decoded:
+coordinates (a random product code after a random rotation), so ``CODES ** 4``
+directions need only ``4 * CODES`` inner products. Every vector is list-decoded:
 it joins all filters whose inner product exceeds its threshold, ``margin`` below
 its ``depth``-th best. Two vectors at an angle of 11 degrees (cosine 0.98) differ
 in their inner product with a filter by about 0.02, so they share several of
@@ -64,21 +64,30 @@ def by_length(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == size)
 
 
-def codebook(size: int, codes: int) -> np.ndarray:
-    """Blocks x codes x coordinates: unit codes of each block, back in the original space."""
+def codebook(size: int) -> list[np.ndarray]:
+    """For each block, codes x coordinates: unit codes, back in the original space.
+
+    A block of few coordinates has few codes, so that no two are nearly the same.
+    """
     rng = np.random.default_rng([SEED, size])
     rotation = np.linalg.qr(rng.standard_normal((size, size)))[0]
-    out = np.zeros((BLOCKS, codes, size))
-    for block, part in enumerate(np.array_split(np.arange(size), BLOCKS)):
-        if len(part):
-            drawn = rng.standard_normal((codes, len(part)))
+    out = []
+    for part in np.array_split(np.arange(size), BLOCKS):
+        width = len(part)
+        if width < 2:
+            drawn = np.ones((1, width)) if not width else np.array([[1.0], [-1.0]])
+        elif width == 2:
+            angles = np.arange(8) * np.pi / 4
+            drawn = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+        else:
+            drawn = rng.standard_normal((min(CODES, 4 << width - 1), width))
             drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
-            out[block] = drawn @ rotation[:, part].T
-    return out / np.sqrt(BLOCKS)
+        out.append(drawn @ rotation[:, part].T / np.sqrt(BLOCKS))
+    return out
 
 
-def list_decode(scores: np.ndarray, depth: int, margin: float) -> np.ndarray:
-    """Numbers of all filters within ``margin`` of the ``depth``-th best; scores: blocks x codes."""
+def list_decode(scores: list[np.ndarray], depth: int, margin: float) -> np.ndarray:
+    """Numbers of all filters within ``margin`` of the ``depth``-th best; scores: those of each block's codes."""
     first = (scores[0][:, None] + scores[1][None, :]).ravel()
     second = (scores[2][:, None] + scores[3][None, :]).ravel()
     # The depth best sums are made of the depth best of either half.
@@ -103,9 +112,9 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_length(column):
             vectors = vectors_of(column.take(pa.array(rows)))
             vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = np.einsum("nd,bcd->nbc", vectors, codebook(vectors.shape[1], CODES), optimize=True)
-            for row, score in zip(rows, scores):
-                found[row] = list_decode(score, DEPTH, MARGIN)
+            scores = [vectors @ codes.T for codes in codebook(vectors.shape[1])]
+            for place, row in enumerate(rows):
+                found[row] = list_decode([score[place] for score in scores], DEPTH, MARGIN)
         yield batch.append_column("filters", pa.array(found, pa.list_(pa.int32())))
 
 

@@ -59,7 +59,8 @@ def later_runs(
     width, found = 1, None
     while True:
         now = checkpointed(now)
-        first = (
+        # Cut off, so that Spark may split the join's partition of a common line.
+        first = checkpointed(
             now.groupBy("name")
             .agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
             .filter("n > 1")

@@ -116,7 +116,7 @@ def _judged(tree: DataFrame) -> DataFrame:
     parent = F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))
     leaves = tree.groupBy("host", "template").agg(*sums).withColumn("parent", parent)
     overall = leaves.agg(
-        F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("all_share")
+        F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("all_share")
     )
     # One row; a scalar, not a table.
     all_share = F.lit(float(overall.first()[0]))
