@@ -14,9 +14,10 @@ def nan_to_null(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
-def flag(predicate: Column) -> Column:
-    """A predicate as 0/1; an unknown predicate stays null."""
-    return predicate.cast("bigint")
+def flag(predicate: Column, unknown: int | None = None) -> Column:
+    """A predicate as 0/1; an unknown predicate becomes ``unknown``, null by default."""
+    number = predicate.cast("bigint")
+    return number if unknown is None else F.coalesce(number, F.lit(unknown).cast("bigint"))
 
 
 def lenient_number(column: Column) -> Column:

@@ -140,6 +140,25 @@ def key_profile(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once, with their rows; null is no key."""
+    return (
+        df.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .where(F.col("n_rows") > 1)
+    )
+
+
+def require_unique(df: DataFrame, key: str, shown: int = 5) -> DataFrame:
+    """``df`` itself; raises, naming a few keys, if a join on ``key`` would multiply rows."""
+    found = repeated_keys(df, key).orderBy(key).head(shown)
+    if found:
+        keys = ", ".join(f"{row[key]} ({row.n_rows} rows)" for row in found)
+        raise ValueError(f"{key} is not unique: {keys}")
+    return df
+
+
 def _is_string(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 

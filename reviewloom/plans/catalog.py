@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewloom.functions.columns import epoch_to_timestamp, month_start
+from reviewloom.functions.columns import epoch_to_timestamp, flag, month_start
 from reviewloom.operators import buckets, clean, features, network, quality, summaries
 from reviewloom.plans import standins
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 # Edge weights at which the part network is cut; other tables have other weights.
 PART_THRESHOLDS = (5, 10, 25, 50, 100)
 PART_STRONG = 40
+# The quantiles that are reported.
 TEXT_QUANTILES = {"q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99, "q999": 0.999}
 PLAYTIME_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
 
@@ -327,13 +328,23 @@ def join_audit(spark, sf_dir):
 
 @query
 def join_coverage_rate(spark, sf_dir):
-    reviews = _line_reviews(spark, sf_dir, appid="l_orderkey").select("appid")
-    # Every line has its order; the audit is against orders with a release date.
-    games = clean.clean_games(standins.order_games(spark, sf_dir)).where(
-        F.col("release_date").isNotNull()
+    pages = standins.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    return _round(quality.join_audit(pages, standins.table(spark, sf_dir, "labels"), "doc_id"), 9)
+
+
+@query
+def repeated_keys(spark, sf_dir):
+    return quality.repeated_keys(standins.table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query
+def flag_unknown_as_zero(spark, sf_dir):
+    documents = standins.table(spark, sf_dir, "documents").select("doc_id")
+    labels = standins.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    good = F.col("quality") == 1
+    return documents.join(labels, "doc_id", "left").select(
+        "doc_id", flag(good).alias("good"), flag(good, unknown=0).alias("good_or_zero")
     )
-    audit = quality.join_audit(reviews, games.withColumnRenamed("appID", "appid"), "appid")
-    return _round(audit, 9)
 
 
 @query

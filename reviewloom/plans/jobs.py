@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.operators import clean, features, network, summaries
+from reviewloom.operators import clean, features, network, quality, summaries
 from reviewloom.sources.contracts import GAMES, REVIEWS
 from reviewloom.sources.files import scan_parquet, write_csv, write_parquet
 
@@ -33,6 +33,8 @@ def playtime_job(spark: SparkSession, reviews: str, out: str) -> None:
 def lifecycle_job(spark: SparkSession, reviews: str, games: str, out: str) -> None:
     """Lifecycle summary and early-access cross-tab."""
     releases = read_games(spark, games).select("appID", "release_date")
+    # A repeated game would multiply its reviews in every count.
+    quality.require_unique(releases, "appID")
     joined = features.add_lifecycle(read_reviews(spark, reviews), releases)
     summary, crosstab = summaries.lifecycle_report(joined)
     _write_summary(summary, f"{out}/q2_lifecycle_summary")

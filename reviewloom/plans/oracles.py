@@ -298,9 +298,15 @@ SELECT count(*) AS total_rows, count(*) - count(l.doc_id) AS unmatched_rows,
        round(avg((l.doc_id IS NOT NULL)::INT), 9) AS coverage
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "join_coverage_rate": """
-SELECT count(*) AS total_rows, count(*) FILTER (o_orderstatus = 'P') AS unmatched_rows,
-       round(avg((o_orderstatus <> 'P')::INT), 9) AS coverage
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+SELECT count(*) AS total_rows, count(*) - count(l.doc_id) AS unmatched_rows,
+       round(avg((l.doc_id IS NOT NULL)::INT), 9) AS coverage
+FROM pages p LEFT JOIN labels l ON p.page_id = l.doc_id""",
+    "repeated_keys": """
+SELECT conv_id, count(*) AS n_rows FROM conversations
+WHERE conv_id IS NOT NULL GROUP BY conv_id HAVING count(*) > 1""",
+    "flag_unknown_as_zero": """
+SELECT d.doc_id, (quality = 1)::BIGINT AS good, coalesce((quality = 1)::BIGINT, 0) AS good_or_zero
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "unmatched_rows": """
 SELECT doc_id, lang, source FROM documents
 WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""",

@@ -194,3 +194,16 @@ def test_profiles_count_nan_as_missing(spark):
     assert (check.zeros, check.ones, check.nulls, check.other_values) == (0, 1, 2, 0)
     keys = quality.key_profile(df, "k").first()
     assert (keys.unique_keys, keys.min_key, keys.max_key, keys.parse_failures) == (2, 1.0, 1.5, 1)
+
+
+def test_flag_of_an_unknown_predicate(spark):
+    rows = spark.sql("SELECT * FROM VALUES (true), (false), (null) AS t(x)")
+    found = rows.select(columns.flag(F.col("x")), columns.flag(F.col("x"), unknown=0)).collect()
+    assert [tuple(r) for r in found] == [(1, 1), (0, 0), (None, 0)]
+
+
+def test_repeated_catalogue_key_is_refused(spark):
+    games = spark.createDataFrame([(1,), (2,), (2,), (None,), (None,)], "appID long")
+    with pytest.raises(ValueError, match=r"appID is not unique: 2 \(2 rows\)"):
+        quality.require_unique(games, "appID")
+    assert quality.require_unique(games.distinct(), "appID").count() == 3
