@@ -3,13 +3,10 @@
 Everything here starts from a *value histogram*: one row per (group, value)
 with its number of input rows. It is built with map-side combining, so a value
 or a group that holds a third of the table costs each map task one row per
-distinct value. Quantiles are ranks, read off running counts of the histogram.
-
-* ``sliced_quantiles`` is for few groups of any size (the whole table, a
-  handful of labels). Slice totals tell which slice of the value axis holds a
-  wanted rank; only the rows of these slices are sorted.
-* ``windowed_quantiles`` is for many groups of limited size. It runs one window
-  per group; ``operators.summaries`` keeps oversized groups away from it.
+distinct value. Quantiles are ranks, read off running counts of the histogram:
+totals of slices of the value axis tell which slice holds a wanted rank, and only
+the rows of these slices are sorted, each slice on its own. There is one path for
+few and many, small and large groups.
 
 Quantile columns are named ``_q0``, ``_q1``, ... in the order of ``probs``.
 """
@@ -20,17 +17,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.functions.columns import nan_to_null
 
+EXACT = (T.IntegralType, T.DecimalType)
 VALUE = "_value"
 ROWS = "_rows"
 
-# A slice spans 1/4096 of its value, so for values of magnitude M in steps of g
-# (minutes, characters, days, cents) it holds at most M / (4096 g) distinct ones,
-# and a group has some thousand slices per order of magnitude. The number only
-# balances the work; results do not depend on it.
-_SLICES_PER_E_FOLD = 4096
+# A slice spans 1/65536 of the distance from the least value of the histogram, so
+# a group has at most 65536 slices per factor of e, however many rows it has. The
+# number only balances the work; results do not depend on it.
+_SLICES_PER_E_FOLD = 65536
+# Above the logarithm of the inverse of every double.
+_E_FOLDS = 746
 
 
 def value_histogram(
@@ -41,9 +41,11 @@ def value_histogram(
 ) -> DataFrame:
     """One row per (keys, value): row count in ``_rows`` plus the given aggregates.
 
-    NaN counts as null.
+    NaN counts as null. Whole numbers and decimals keep their type.
     """
-    return df.groupBy(*keys, nan_to_null(value).alias(VALUE)).agg(
+    kind = df.select(value.alias(VALUE)).schema[VALUE].dataType
+    known = value if isinstance(kind, EXACT) else nan_to_null(value)
+    return df.groupBy(*keys, known.alias(VALUE)).agg(
         F.count(F.lit(1)).alias(ROWS), *aggregates
     )
 
@@ -86,11 +88,16 @@ def _so_far(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _slice_number() -> Column:
-    """A whole number that never falls as the value rises."""
-    value = F.col(VALUE)
-    size = F.floor(F.log1p(F.abs(value)) * _SLICES_PER_E_FOLD)
-    return F.when(value < 0, -size).otherwise(size)
+def _slice_number(known: DataFrame) -> Column:
+    """A whole number that never falls as the value rises.
+
+    It follows the logarithm of the distance from the least value, a scalar
+    subquery. That reads both columns, so that it shares the histogram's shuffle.
+    """
+    least = known.agg(F.min(F.when(F.col("_counted") > 0, F.col(VALUE))).cast("double")).scalar()
+    distance = F.col(VALUE).cast("double") - least
+    size = F.floor((F.log(distance) + _E_FOLDS) * _SLICES_PER_E_FOLD)
+    return F.when(distance > 0, size).otherwise(0)
 
 
 def sliced_quantiles(
@@ -99,16 +106,15 @@ def sliced_quantiles(
     keys: Sequence[str] = (),
     interpolation: str = "linear",
 ) -> DataFrame:
-    """Exact quantiles per group for few groups of any size; null values are left out.
+    """Exact quantiles per group, for any number and size of groups; nulls are left out.
 
     Without keys there is always one row; a group of nulls alone gives no row.
     """
     keys = list(keys)
-    sliced = (
-        hist.where(F.col(VALUE).isNotNull())
-        .select(*keys, VALUE, F.col(ROWS).alias("_counted"))
-        .withColumn("_slice", _slice_number())
+    known = hist.where(F.col(VALUE).isNotNull()).select(
+        *keys, VALUE, F.col(ROWS).alias("_counted")
     )
+    sliced = known.withColumn("_slice", _slice_number(known))
     group = Window.partitionBy(*(keys or [F.lit(0)]))
     before = F.sum("_counted").over(_so_far(group.orderBy("_slice"))) - F.col("_counted")
     targets = (
@@ -128,39 +134,13 @@ def sliced_quantiles(
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
     in_slice = _so_far(Window.partitionBy(*keys, "_slice").orderBy(VALUE))
-    # The broadcast is bounded: at most two slices per group and quantile. So are
-    # the rows behind it, which one shuffle by group brings together.
-    near = sliced.join(F.broadcast(targets), same)
-    near = near.repartition(*keys) if keys else near.repartition(1)
+    # Spark broadcasts the wanted slices if they are few, and shuffles otherwise.
     return (
-        near.withColumn(
+        sliced.join(targets, same)
+        .withColumn(
             "_before",
             F.col("_at__before") + F.sum("_counted").over(in_slice) - F.col("_counted"),
         )
         .groupBy(*keys)
         .agg(*_picks(probs, interpolation))
     )
-
-
-def windowed_quantiles(
-    hist: DataFrame,
-    probs: Sequence[float],
-    keys: Sequence[str],
-    interpolation: str = "linear",
-    aggregates: Sequence[Column] = (),
-) -> DataFrame:
-    """Exact quantiles for many groups of limited size, one window per group.
-
-    Null values take no part in the quantiles. ``aggregates`` over the histogram
-    columns are computed in the same pass.
-    """
-    group = Window.partitionBy(*keys)
-    counted = F.when(F.col(VALUE).isNotNull(), F.col(ROWS)).otherwise(0)
-    before = F.sum("_counted").over(_so_far(group.orderBy(VALUE))) - F.col("_counted")
-    return (
-        hist.withColumn("_counted", counted)
-        .withColumn("_before", before)
-        .withColumn("_total", F.sum("_counted").over(group))
-        .groupBy(*keys)
-        .agg(*_picks(probs, interpolation), *aggregates)
-    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.columns import days_between, flag, text_length, word_count
 from reviewloom.functions.frames import merge_by_key
-from reviewloom.operators.summaries import few_medians
+from reviewloom.operators.summaries import medians_by
 
 # Length above which a text is extreme, upper day limits of the stages.
 EXTREME_LENGTH = 8000
@@ -37,7 +37,7 @@ def text_feature_stats(df: DataFrame) -> DataFrame:
         F.avg("received_helpful_vote").alias("helpful_review_rate"),
     )
     medians = {"median_review_length": "review_length", "median_word_count": "review_word_count"}
-    return merge_by_key([], few_medians(df, [], medians), totals)
+    return merge_by_key([], medians_by(df, [], medians), totals)
 
 
 def longest_texts(

@@ -15,10 +15,8 @@ from reviewloom.operators.buckets import quantile_report
 THRESHOLDS = (100, 500, 1000, 2500, 5000)
 STRONG_EDGE = 2500
 
-# Entities with more rows than this are not gathered into one row.
-WIDE_BASKET = 10_000
-# Tasks that share the pairs of such an entity.
-WIDE_PARTS = 64
+# Items per block: pairs are made block by block, so this bounds the pairs of a row.
+BLOCK = 1024
 
 
 def explode_list(
@@ -51,32 +49,28 @@ def cooccurrence_edges(
     item: str = "genre",
     weight: str = "shared_games",
     dedupe: bool = False,
-    wide: int = WIDE_BASKET,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Unordered pairs of items of the same entity, with the number of joined rows.
 
     An item listed n times and a partner listed m times give n x m, or 1 with
     ``dedupe``. Repeats are counted first, so an entity with very many rows is
-    reduced to its distinct items. Entities with the same items are then counted
-    together and pairs made once per distinct basket. The few entities with more
-    than ``wide`` rows are joined with themselves instead, in several tasks each.
+    reduced to its distinct items, and these are cut into blocks of about ``block``
+    items. Entities with the same block, or pair of blocks, are counted together;
+    pairs are made once per distinct block or pair of blocks.
     """
     listed = (
         long.where(F.col(key).isNotNull() & F.col(item).isNotNull())
         .groupBy(F.col(key).alias("_key"), F.col(item).alias("_item"))
         .agg((F.lit(1).cast("bigint") if dedupe else F.count(F.lit(1))).alias("_times"))
     )
-    # Bounded: at most one key per ``wide`` rows. AQE drops both joins if there is none.
-    wide_keys = F.broadcast(
-        listed.groupBy(F.col("_key").alias("_wide"))
-        .agg(F.sum("_times").alias("_rows"))
-        .where(F.col("_rows") > wide)
-        .select("_wide")
-    )
-    is_wide = F.col("_key") == F.col("_wide")
-    pairs = _basket_pairs(listed.join(wide_keys, is_wide, "left_anti")).unionByName(
-        _wide_pairs(listed.join(wide_keys, is_wide, "left_semi"))
+    sizes = listed.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    blocks = (
+        listed.join(sizes, "_key")
+        .groupBy("_key", "_blocks", F.expr("pmod(hash(_item), _blocks)").alias("_block"))
+        .agg(F.sort_array(F.collect_list(F.struct("_item", "_times"))).alias("_basket"))
     )
+    pairs = _pairs_within(blocks).unionByName(_pairs_across(blocks))
     return (
         pairs.groupBy(F.col("_item").alias(item), F.col("_item_2").alias(f"{item}_2"))
         .agg(F.sum("_weight").alias(weight))
@@ -84,12 +78,13 @@ def cooccurrence_edges(
     )
 
 
-def _basket_pairs(listed: DataFrame) -> DataFrame:
-    """Weighted pairs of every distinct basket; a basket has a limited number of items."""
+_WEIGHT = "_first._times * _second._times * _entities"
+
+
+def _pairs_within(blocks: DataFrame) -> DataFrame:
+    """Weighted pairs of items of the same block."""
     baskets = (
-        listed.groupBy("_key")
-        .agg(F.sort_array(F.collect_list(F.struct("_item", "_times"))).alias("_basket"))
-        .where(F.size("_basket") > 1)
+        blocks.where(F.size("_basket") > 1)
         .groupBy("_basket")
         .agg(F.count(F.lit(1)).alias("_entities"))
     )
@@ -100,46 +95,67 @@ def _basket_pairs(listed: DataFrame) -> DataFrame:
         .select(
             F.col("_first._item").alias("_item"),
             F.col("_second._item").alias("_item_2"),
-            (F.col("_first._times") * F.col("_second._times") * F.col("_entities")).alias("_weight"),
+            F.expr(_WEIGHT).alias("_weight"),
         )
     )
 
 
-def _wide_pairs(listed: DataFrame) -> DataFrame:
-    """Weighted pairs of entities with very many items, split over tasks by the first item."""
-    part = F.pmod(F.hash("_item"), F.lit(WIDE_PARTS))
-    first = listed.select("_key", "_item", "_times", part.alias("_part"))
-    second = listed.select(
-        F.col("_key").alias("_key_2"),
-        F.col("_item").alias("_item_2"),
-        F.col("_times").alias("_times_2"),
-        F.explode(F.sequence(F.lit(0), F.lit(WIDE_PARTS - 1))).alias("_part_2"),
+def _pairs_across(blocks: DataFrame) -> DataFrame:
+    """Weighted pairs of items of different blocks of an entity; none if it has one block."""
+    split = blocks.where("_blocks > 1")
+    later = split.where("_block + 1 < _blocks").select(
+        "_key",
+        F.col("_basket").alias("_left"),
+        F.explode(F.expr("sequence(_block + 1, _blocks - 1)")).alias("_block"),
     )
-    same = (F.col("_key") == F.col("_key_2")) & (F.col("_part") == F.col("_part_2"))
-    return first.join(second, same & (F.col("_item") < F.col("_item_2"))).select(
-        "_item", "_item_2", (F.col("_times") * F.col("_times_2")).alias("_weight")
+    both = (
+        later.join(split.select("_key", "_block", F.col("_basket").alias("_right")), ["_key", "_block"])
+        .groupBy("_left", "_right")
+        .agg(F.count(F.lit(1)).alias("_entities"))
+    )
+    return (
+        both.select("_right", "_entities", F.explode("_left").alias("_first"))
+        .select("_entities", "_first", F.explode("_right").alias("_second"))
+        .select(
+            F.least("_first._item", "_second._item").alias("_item"),
+            F.greatest("_first._item", "_second._item").alias("_item_2"),
+            F.expr(_WEIGHT).alias("_weight"),
+        )
     )
 
 
 def list_edges(
-    df: DataFrame, column: str = "genres", item: str = "genre", weight: str = "shared_games"
+    df: DataFrame,
+    column: str = "genres",
+    item: str = "genre",
+    weight: str = "shared_games",
+    block: int = BLOCK,
 ) -> DataFrame:
     """The same edges straight from a list column with one row per entity.
 
     Entities with the same list are counted first; pairs are made once per
     distinct list and weighted by its count, so neither the entities nor their
-    pairs are shuffled.
+    pairs are shuffled. Sorted lists are cut into blocks, and pairs of blocks are
+    spread over the tasks.
     """
     lists = (
         df.select(F.sort_array(F.array_compact(column)).alias("_list"))
         .where(F.size("_list") > 1)
         .groupBy("_list")
         .agg(F.count(F.lit(1)).alias("_entities"))
+        .withColumn("_last", F.ceil(F.size("_list") / block).cast("int") - 1)
+    )
+    part = lambda number: F.slice("_list", F.col(number) * block + 1, F.lit(block))
+    spread = (
+        lists.withColumn("_i", F.explode(F.expr("sequence(0, _last)")))
+        .withColumn("_j", F.explode(F.expr("sequence(_i, _last)")))
+        .select("_entities", part("_i").alias("_left"), part("_j").alias("_right"))
+        .repartition("_left", "_right")
     )
-    firsts = lists.select("_list", "_entities", F.explode("_list").alias(item))
-    later = F.filter("_list", lambda other: other > F.col(item))
+    later = F.filter("_right", lambda other: other > F.col(item))
     return (
-        firsts.select("_entities", item, F.explode(later).alias(f"{item}_2"))
+        spread.select("_entities", "_right", F.explode("_left").alias(item))
+        .select("_entities", item, F.explode(later).alias(f"{item}_2"))
         .groupBy(item, f"{item}_2")
         .agg(F.sum("_entities").alias(weight))
         .orderBy(F.desc(weight), item, f"{item}_2")

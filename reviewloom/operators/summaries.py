@@ -14,7 +14,6 @@ from reviewloom.functions.quantiles import (
     VALUE,
     sliced_quantiles,
     value_histogram,
-    windowed_quantiles,
 )
 from reviewloom.operators.buckets import (
     PLAYTIME_LABELS,
@@ -24,13 +23,9 @@ from reviewloom.operators.buckets import (
 )
 from reviewloom.sources.files import checkpointed
 
-# Groups with more rows than this take the path for groups of any size. At most
-# (rows of the table / HOT_ROWS) groups do, which bounds the broadcast of their keys.
-HOT_ROWS = 5_000_000
-
 
 def _stacked(
-    df: DataFrame, keys: Sequence[str], medians: dict[str, str], carry: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], medians: dict[str, str]
 ) -> tuple[DataFrame, list[str]]:
     """The columns to take medians of as one column ``_in``, and the group keys.
 
@@ -38,16 +33,16 @@ def _stacked(
     """
     columns = list(medians.values())
     if len(columns) == 1:
-        return df.select(*keys, *carry, F.col(columns[0]).alias("_in")), list(keys)
+        return df.select(*keys, F.col(columns[0]).alias("_in")), list(keys)
     measures = [
         F.struct(F.lit(i).alias("_measure"), F.col(c).cast("double").alias("_in"))
         for i, c in enumerate(columns)
     ]
-    return df.select(*keys, *carry, F.inline(F.array(*measures))), [*keys, "_measure"]
+    return df.select(*keys, F.inline(F.array(*measures))), [*keys, "_measure"]
 
 
 def _unstacked(
-    df: DataFrame, keys: Sequence[str], medians: dict[str, str], others: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], medians: dict[str, str]
 ) -> DataFrame:
     """One row per group again, with a column for every median."""
     if len(medians) == 1:
@@ -56,11 +51,11 @@ def _unstacked(
         F.max(F.when(F.col("_measure") == i, F.col("_q0"))).alias(name)
         for i, name in enumerate(medians)
     ]
-    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in others], *spread)
+    return df.groupBy(*keys).agg(*spread)
 
 
-def few_medians(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
-    """Exact medians for few groups of any size."""
+def medians_by(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
+    """Exact medians for any number and size of groups."""
     stacked, by = _stacked(df, keys, medians)
     hist = value_histogram(stacked, F.col("_in"), by)
     return _unstacked(sliced_quantiles(hist, [0.5], by), keys, medians)
@@ -104,54 +99,20 @@ def summarise_histogram(
     return merge_by_key(keys, totals, middle).select(*keys, count, *rates, median)
 
 
-def summarise_few(
+def summarise(
     df: DataFrame,
     keys: Sequence[str],
     rates: dict[str, str],
     medians: dict[str, str],
     count: str = "review_count",
 ) -> DataFrame:
-    """Count, rates and exact medians for few groups of any size."""
-    merged = merge_by_key(keys, _totals(df, keys, rates, count), few_medians(df, keys, medians))
-    return merged.select(*keys, count, *rates, *medians)
+    """Count, rates and exact medians for any number and size of groups.
 
-
-def summarise_many(
-    df: DataFrame,
-    keys: Sequence[str],
-    rates: dict[str, str],
-    medians: dict[str, str],
-    count: str = "review_count",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Count, rates and exact medians for any number of groups.
-
-    Rows are first combined per (group, value), which shuffles no group as a
-    whole. Groups of up to ``hot_rows`` rows then get a window each; the few
-    larger ones are summarised by ``summarise_few``. If there are none, AQE
-    drops that branch and the join against their keys while the query runs.
+    The rates are a plain aggregation; a second scan of the keys and the columns to
+    take medians of gives the medians.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    )
-    is_hot = F.lit(True)
-    for k in keys:
-        is_hot = is_hot & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-
-    stacked, by = _stacked(df, keys, medians, list(dict.fromkeys(rates.values())))
-    hist = value_histogram(stacked, F.col("_in"), by, rate_parts(rates))
-    combined = [F.sum(ROWS).alias(count), *rates_from_parts(rates)]
-    small = hist.join(F.broadcast(hot), is_hot, "left_anti")
-    small = windowed_quantiles(small, [0.5], by, aggregates=combined)
-    small = _unstacked(small, keys, medians, [count, *rates])
-
-    large = summarise_few(
-        df.join(F.broadcast(hot), is_hot, "left_semi"), keys, rates, medians, count
-    )
-    return small.select(*large.columns).unionByName(large)
+    merged = merge_by_key(keys, _totals(df, keys, rates, count), medians_by(df, keys, medians))
+    return merged.select(*keys, count, *rates, *medians)
 
 
 def playtime_summary(
@@ -181,7 +142,7 @@ def playtime_summary(
         middle.withColumnRenamed("_q0", "median_playtime_hours"),
     ]
     if medians:
-        frames.append(few_medians(labelled, [key], medians))
+        frames.append(medians_by(labelled, [key], medians))
     summary = merge_by_key([key], *frames).select(*PLAYTIME_COLUMNS, *(medians or {}))
     # At most one row per label: one partition sorts them all.
     return summary.repartition(1).sortWithinPartitions(bucket_order(key, labels))
@@ -208,7 +169,7 @@ _RATES = {
 
 def lifecycle_summary(joined: DataFrame) -> DataFrame:
     """Reviews by lifecycle stage: count, rates and median hours."""
-    return summarise_few(
+    return summarise(
         joined,
         ["lifecycle_group"],
         _RATES,
@@ -246,9 +207,9 @@ def lifecycle_report(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summary.select(*LIFECYCLE_COLUMNS), crosstab
 
 
-def game_review_summary(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def game_review_summary(reviews: DataFrame) -> DataFrame:
     """One row per game; needs ``review_length`` (see ``operators.features``)."""
-    return summarise_many(
+    return summarise(
         reviews,
         ["appid"],
         _RATES,
@@ -256,18 +217,16 @@ def game_review_summary(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
             "median_playtime_hours": "playtime_hours_at_review",
             "median_review_length": "review_length",
         },
-        hot_rows=hot_rows,
     ).select(*GAME_COLUMNS)
 
 
-def game_monthly_reviews(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def game_monthly_reviews(reviews: DataFrame) -> DataFrame:
     """One row per game and calendar month."""
-    return summarise_many(
+    return summarise(
         reviews.withColumn("review_month", month_start(F.col("review_date"))),
         ["appid", "review_month"],
         _RATES,
         {"median_playtime_hours": "playtime_hours_at_review"},
-        hot_rows=hot_rows,
     ).select(*MONTH_COLUMNS)
 
 

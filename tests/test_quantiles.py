@@ -6,11 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.functions.quantiles import (
-    sliced_quantiles,
-    value_histogram,
-    windowed_quantiles,
-)
+from reviewloom.functions.quantiles import _slice_number, sliced_quantiles, value_histogram
 from reviewloom.operators.buckets import bucket_by_quantiles, quantile_report
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -35,7 +31,7 @@ def _nearest(values, prob):
 
 
 @pytest.mark.parametrize("kind", ["ties", "tail", "signed", "narrow", "single", "tiny"])
-def test_sliced_and_windowed_agree_with_numpy(spark, kind):
+def test_quantiles_agree_with_numpy(spark, kind):
     values = _values(kind)
     df = spark.createDataFrame([(v, "a") for v in values] + [(None, "a")], "v double, k string")
     for interpolation in ("linear", "nearest"):
@@ -46,8 +42,7 @@ def test_sliced_and_windowed_agree_with_numpy(spark, kind):
         hist = value_histogram(df, F.col("v"), ["k"])
         whole = sliced_quantiles(value_histogram(df, F.col("v")), PROBS, [], interpolation)
         by_key = sliced_quantiles(hist, PROBS, ["k"], interpolation).drop("k")
-        windowed = windowed_quantiles(hist, PROBS, ["k"], interpolation).drop("k")
-        for found in (whole, by_key, windowed):
+        for found in (whole, by_key):
             assert list(found.first()) == pytest.approx(list(expected), rel=1e-12)
 
 
@@ -56,9 +51,7 @@ def test_groups_with_null_key_and_null_values(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     hist = value_histogram(df, F.col("v"), ["k"])
     sliced = {r.k: r._q0 for r in sliced_quantiles(hist, [0.5], ["k"]).collect()}
-    windowed = {r.k: r._q0 for r in windowed_quantiles(hist, [0.5], ["k"]).collect()}
     assert sliced == {None: 2.0, "x": 5.0}
-    assert windowed == {None: 2.0, "x": 5.0, "empty": None}
 
 
 def test_nearest_rounds_half_up(spark):
@@ -103,3 +96,21 @@ def test_labels_must_fit(spark):
         bucket_by_quantiles(spark.range(3), "id", probs=[0.5])
     with pytest.raises(ValueError):
         quantile_report(spark.range(3), "id", {"q": 0.5}, interpolation="other")
+
+
+@pytest.mark.parametrize("column", ["id / 3e9", "1700000000 + pmod(id, 86400)", "if(id % 3 = 0, 7, id)"])
+def test_no_slice_holds_much_of_a_column(spark, column):
+    """Values in [0, 1e-4), seconds of one day, one value of a third of the rows."""
+    df = spark.range(300000).selectExpr(f"double({column}) AS v")
+    hist = value_histogram(df, F.col("v")).withColumnRenamed("_rows", "_counted")
+    sizes = hist.withColumn("_slice", _slice_number(hist)).groupBy("_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] < hist.count() / 1000
+    expected = df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
+    found = sliced_quantiles(value_histogram(df, F.col("v")), [0.25, 0.5]).first()
+    assert list(found) == pytest.approx(expected, rel=1e-12)
+
+
+def test_whole_numbers_above_the_doubles_keep_their_extremes(spark):
+    df = spark.createDataFrame([(2**53 + 1,)], "v bigint")
+    row = quantile_report(df, "v", {"q": 0.5}, extremes=True).first()
+    assert (row.min, row.max) == (2**53 + 1, 2**53 + 1)

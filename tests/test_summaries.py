@@ -20,14 +20,6 @@ def _sorted(df):
     return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 10**9])
-def test_hot_groups_give_the_same_rollup(reviews, hot_rows):
-    """All groups large, some large, none large."""
-    for rollup in (summaries.game_review_summary, summaries.game_monthly_reviews):
-        plain = rollup(reviews)
-        assert _sorted(rollup(reviews, hot_rows=hot_rows)) == _sorted(plain)
-
-
 def test_rollup_matches_plain_aggregation(reviews):
     """A third of the rows in one group, a null group and null flags."""
     skewed = reviews.withColumns(
@@ -49,9 +41,8 @@ def test_rollup_matches_plain_aggregation(reviews):
         F.median("playtime_hours_at_review").alias("median_playtime_hours"),
         F.median("review_length").alias("median_review_length"),
     )
-    for hot_rows in (5, 10**9):
-        ours = summaries.game_review_summary(skewed, hot_rows=hot_rows)
-        assert _sorted(ours) == _sorted(plain)
+    ours = summaries.game_review_summary(skewed)
+    assert _sorted(ours) == _sorted(plain)
 
 
 def test_totals_agree_between_summaries(spark, sf_dir, reviews):
@@ -89,7 +80,17 @@ def test_edges_from_lists_and_from_long_form_agree(spark):
     expected = [("A", "B", 4), ("A", "C", 1), ("B", "C", 1)]
     assert [tuple(r) for r in list_edges(games).collect()] == expected
     assert [tuple(r) for r in cooccurrence_edges(long).collect()] == expected
-    for wide in (0, 2, 1000):
-        assert [tuple(r) for r in cooccurrence_edges(long, wide=wide).collect()] == expected
-        deduped = cooccurrence_edges(long, dedupe=True, wide=wide).collect()
+    for block in (1, 2, 1000):
+        assert [tuple(r) for r in list_edges(games, block=block).collect()] == expected
+        assert [tuple(r) for r in cooccurrence_edges(long, block=block).collect()] == expected
+        deduped = cooccurrence_edges(long, dedupe=True, block=block).collect()
         assert [tuple(r) for r in deduped] == [("A", "B", 3), ("A", "C", 1), ("B", "C", 1)]
+
+
+def test_pairs_of_a_wide_entity_are_spread(spark):
+    """One entity of 5,000 items: no row makes more pairs than two blocks have."""
+    long = spark.range(5000).select(F.lit(1).alias("appID"), F.format_string("%04d", "id").alias("genre"))
+    edges = cooccurrence_edges(long)
+    assert edges.agg(F.count("*"), F.sum("shared_games")).first() == (12497500, 12497500)
+    listed = long.groupBy("appID").agg(F.collect_list("genre").alias("genres"))
+    assert list_edges(listed).count() == 12497500
