@@ -38,6 +38,7 @@ CANDIDATE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
     r"|(?:\G|(?<![A-Za-z0-9+(]))[+(]?[0-9][0-9 ().:/-]*[0-9]"
 )
+BLOCK = 128  # appending copies a list, so spans are listed block by block
 CONTEXT = 48  # code points looked at on either side of an instance
 
 SUPPORT = 3  # distinct instances a pattern needs
@@ -88,7 +89,7 @@ def _located(text: Column, pattern: str, kind: Column) -> Column:
 
     def spans(parts: Column) -> Column:
         pieces, found = parts["pieces"], parts["found"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        none = F.array().cast(f"array<{SPAN}>")
 
         def step(state: Column, i: Column) -> Column:
             piece, match = F.get(pieces, i), F.get(found, i)
@@ -104,10 +105,19 @@ def _located(text: Column, pattern: str, kind: Column) -> Column:
             )
             return F.struct(last.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-        numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.aggregate(numbers, start, step, lambda state: state["out"])
+        def block(state: Column, first: Column) -> Column:
+            numbers = F.sequence(first, F.least(first + (BLOCK - 1), F.size(found) - 1))
+            inner = F.aggregate(numbers, F.struct(state["at"].alias("at"), none.alias("out")), step)
+            joined = lambda done: F.struct(
+                done["at"].alias("at"), F.array_append(state["out"], done["out"]).alias("out")
+            )
+            return F.get(F.transform(F.array(inner), joined), F.lit(0))
+
+        blocks = F.when(
+            F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK))
+        ).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        return F.aggregate(blocks, start, block, lambda state: F.flatten(state["out"]))
 
     # A lambda over one value keeps the two passes over the text from being repeated.
     return F.get(F.transform(F.array(both), spans), F.lit(0))
