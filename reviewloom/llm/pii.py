@@ -33,7 +33,7 @@ PATTERNS = {
 }
 # A text without this character has no match.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CANDIDATE = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
     r"|(?:\G|(?<![A-Za-z0-9+(]))[+(]?[0-9][0-9 ().:/-]*[0-9]"

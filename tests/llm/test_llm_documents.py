@@ -130,6 +130,7 @@ AWKWARD = [
     None, "", "a@b.c_x@d.e.f z@q", "x@y.z@w.v 1.2.3.4.5.6.7.8 0001.2.3.4 256.1.1.1 1.2.3",
     "+1 (743) 555-3824 and +123 +1-2-3-4-5-6-7-8-9 é😀 4111111111111111",
     "4111 1111 1111 1111 4111-1111-1111-1112", "1" * 20000, "a" * 30000, "a@" * 500, "+" * 50 + "1 1",
+    "10.0.0.1 0.0.0.0 000.00.0.010 0255.0256.1.1 0256.1.1.1 255.255.255.255", "0" * 4000 + ".1.2.3",
 ]
 
 
@@ -143,6 +144,15 @@ def test_base_spans_equal_plain_patterns(spark):
         assert all(extra[k] >= counts[k] for k in KINDS)
 
 
+def test_base_spans_of_random_texts(spark):
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("001258.. -+()@a_\u00e9", k=draw.randint(5, 120))) for _ in range(1500)]
+    texts += [".".join(str(draw.choice([0, 1, 9, 10, 99, 100, 200, 255, 256, 300])) for _ in range(4)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in span_digest(rows).collect():
+        assert row.base_sha256 == sha(base_spans(texts[row.doc_id])), texts[row.doc_id]
+
+
 def test_contexts_find_unseen_identifiers_and_leave_others(spark):
     seeds = [f"word{i} call phone: +1 ({200 + i}) 555-{1000 + i} now" for i in range(12)]
     found = ["zz call phone: 555-1234-99 now", "lot 555-1234-99 here"]
