@@ -17,6 +17,9 @@ and needs no stack.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +140,25 @@ def base_spans(text: Column) -> Column:
     return F.concat(*lists)
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _touched(span: Column, spans: Column) -> Column:
+    """Whether one of ``spans``, which are in order and apart, overlaps ``span``.
+
+    Halving finds the last one that starts before the span ends.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        between = state["high"] - state["low"] > 1
+        before = F.get(spans, middle)["start"] < span["end"]
+        return F.struct(
+            F.when(between & before, middle).otherwise(state["low"]).alias("low"),
+            F.when(between & ~before, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))
+    start = F.struct(F.lit(-1).alias("low"), F.size(spans).alias("high"))
+    last = F.aggregate(halvings, start, step, lambda state: F.get(spans, state["low"])["end"])
+    return F.coalesce(last > span["start"], F.lit(False))
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
@@ -146,11 +166,15 @@ def candidate_spans(text: Column, base: Column) -> Column:
     possible = text.contains("@") | text.rlike("[0-9]")
     found = _located(text, CANDIDATE, F.lit(None).cast("string"))
     digits = lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", ""))
-    kept = F.filter(
-        found,
-        lambda s: (s["value"].contains("@") | digits(s).between(7, 19))
-        & ~F.exists(base, lambda b: _overlaps(s, b)),
-    )
+    of_kind = lambda kind: F.filter(base, lambda b: b["kind"] == kind).alias(kind)
+    parts = F.struct(found.alias("found"), *map(of_kind, KINDS))
+
+    def apart(p: Column) -> Column:
+        touched = lambda s: functools.reduce(operator.or_, (_touched(s, p[kind]) for kind in KINDS))
+        likely = lambda s: s["value"].contains("@") | digits(s).between(7, 19)
+        return F.filter(p["found"], lambda s: likely(s) & ~touched(s))
+
+    kept = F.get(F.transform(F.array(parts), apart), F.lit(0))
     return F.when(possible, kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
