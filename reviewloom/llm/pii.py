@@ -337,27 +337,46 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.transform("_spans", lambda s: F.struct(s["start"], (-s["end"]).alias("end"), s["kind"]))
     )
     # Each span covers from where the previous ones ended; the piece before it is kept.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    # A block of spans works on its own section of the text.
+    def covered(spans: Column) -> Column:
+        def block(state: Column, first: Column) -> Column:
+            last = F.least(first + (BLOCK - 1), F.size(spans) - 1)
+            width = F.greatest(F.get(spans, last)["start"] - state["at"], F.lit(0))
+            section = F.struct(state["at"].alias("at"), text.substr(state["at"] + 1, width).alias("text"))
+
+            def pieces(part: Column) -> Column:
+                def step(inner: Column, i: Column) -> Column:
+                    s = F.get(spans, i)
+                    kept = part["text"].substr(inner["at"] - part["at"] + 1, s["start"] - inner["at"])
+                    piece = F.concat(kept, F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+                    return F.struct(
+                        F.greatest(inner["at"], -s["end"]).alias("at"),
+                        F.when(s["start"] >= inner["at"], F.array_append(inner["out"], piece))
+                        .otherwise(inner["out"])
+                        .alias("out"),
+                    )
+
+                begin = F.struct(part["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+                return F.aggregate(F.sequence(first, last), begin, step)
 
-    def step(state: Column, s: Column) -> Column:
-        end = -s["end"]
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(
-            text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")
-        )
-        return F.struct(
-            F.greatest(state["at"], end).alias("at"),
-            F.when(fresh, F.array_append(state["out"], piece)).otherwise(state["out"]).alias("out"),
+            joined = lambda done: F.struct(
+                done["at"].alias("at"),
+                F.array_append(state["out"], F.array_join(done["out"], "")).alias("out"),
+            )
+            inner = F.get(F.transform(F.array(section), pieces), F.lit(0))
+            return F.get(F.transform(F.array(inner), joined), F.lit(0))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        rest = lambda state: text.substr(state["at"] + 1, F.length(text))
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(spans) - 1, F.lit(BLOCK)),
+            start,
+            block,
+            lambda state: F.concat(F.array_join(state["out"], ""), rest(state)),
         )
 
-    hidden = F.aggregate(
-        by_start,
-        start,
-        step,
-        lambda state: F.concat(
-            F.array_join(state["out"], ""), text.substr(state["at"] + 1, F.length(text))
-        ),
-    )
+    # A lambda over one value keeps the sorting from being repeated.
+    hidden = F.get(F.transform(F.array(by_start), covered), F.lit(0))
     key = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (
         F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")
     )

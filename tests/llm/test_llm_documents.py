@@ -166,6 +166,22 @@ def test_contexts_find_unseen_identifiers_and_leave_others(spark):
     assert hidden[14] == clean[0]
 
 
+def test_many_overlapping_spans_are_masked(spark):
+    draw = random.Random(3)
+    parts = ["+4111 1111 1111 1111", "u{}@h.example", "10.0.{}.1", "+1 (743) 555-{}", "word", "4111111111111111@x.y"]
+    texts = [" ".join(draw.choice(parts).format(draw.randint(100, 250)) for _ in range(n)) for n in (1, 7, 127, 128, 129, 900)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in span_digest(rows).collect()}
+    for row in masked(rows).collect():
+        found = [(int(s.split(":")[1]), -int(s.split(":")[2]), s.split(":")[0]) for s in spans[row.doc_id].split(",") if s]
+        at, out, text = 0, "", texts[row.doc_id]
+        for start, end, kind in sorted(found):
+            if start >= at:
+                out += f"{text[at:start]}<{kind.upper()}>"
+            at = max(at, -end)
+        assert row.text == out + text[at:]
+
+
 def test_personal_data_keeps_rows(docs, texts):
     assert Counter(r.doc_id for r in span_digest(docs).collect()) == Counter(i for i, _ in texts)
     assert masked(docs).columns == docs.columns
