@@ -12,6 +12,7 @@ from reviewloom.llm.common import table
 from reviewloom.llm.language import identify
 from reviewloom.llm.lines import repeated_lines
 from reviewloom.llm.neighbors import nearest_neighbors
+from reviewloom.llm.oracles import ORACLES as ORACLES
 from reviewloom.llm.packing import pack
 from reviewloom.llm.pieces import round_trip
 from reviewloom.llm.pii import span_digest
@@ -78,6 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-
-# Queries that SQL cannot express have none; tests/llm holds them to brute force.
-ORACLES: dict[str, str] = {}
