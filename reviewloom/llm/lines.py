@@ -1,17 +1,19 @@
-"""Removal of repeated runs of lines by prefix doubling over line ids.
-
-The corpus is the sequence of its lines' ids, one sequence per document. As in
-building a suffix array by prefix doubling, the name of the 2^(k+1) lines from a
-position is made of the names of the 2^k lines there and 2^k further on; positions
-of equal name are an interval of suffixes whose longest common prefix is at least
-that many lines. Only positions whose name repeats go on, since a longer run can
-only repeat where its halves do. Names are hashes rather than sorted ranks: the
-intervals are needed, not their order.
-
-A run of 1, 2, 4, ... lines with at least ``MIN_WORDS`` words together goes where it
-is a later copy: it starts earlier, in a document of smaller id or before in the
-same one. Longer repeated runs are unions of such. The doubling ends when every run
-that still repeats has enough words. Blank lines are no part of the sequence.
+"""Removal of repeated runs of lines by growing names over line ids.
+
+The corpus is the sequence of its lines' ids, one sequence per document. The name
+of the w + 1 lines from a position is made of the names of the w lines there and
+of the w lines from the next line on, which overlap; positions of equal name are an
+interval of suffixes whose longest common prefix is at least that many lines. Only
+positions whose name repeats go on, since a longer run can only repeat where its
+parts do. Names are hashes rather than sorted ranks: the intervals are needed, not
+their order.
+
+A run of any length with at least ``MIN_WORDS`` words together goes where it is a
+later copy: it starts earlier, in a document of smaller id or before in the same
+one. Every width up to ``MIN_WORDS`` lines is tested; as each line has a word, longer
+runs are unions of their windows of that width. A window made of two that have
+enough words is the union of these and does not go on. Blank lines are no part of
+the sequence.
 """
 
 from __future__ import annotations
@@ -55,6 +57,7 @@ def later_runs(
             F.xxhash64("line").alias("name"),
             words.alias("words"),
         )
+        .withColumn("last", F.col("words"))
     )
     width, found = 1, None
     while True:
@@ -76,21 +79,28 @@ def later_runs(
         if repeated.filter(F.col("words") < min_words).isEmpty():
             break
         after = repeated.select(
-            "doc", "mark", (F.col("at") - width).alias("at"), F.col("name").alias("then"), F.col("words").alias("more")
+            "doc",
+            "mark",
+            (F.col("at") - 1).alias("at"),
+            F.col("name").alias("then"),
+            F.col("words").alias("others"),
+            F.col("last").alias("end"),
         )
         # Repeated rows of a document have equal names, so one of them is enough.
         now = (
             repeated.drop("later")
             .join(after.dropDuplicates(["doc", "mark", "at"]), ["doc", "mark", "at"])
+            .filter(F.least("words", "others") < min_words)
             .select(
                 "doc",
                 "mark",
                 "at",
                 F.xxhash64("name", "then").alias("name"),
-                F.least(F.lit(min_words), F.col("words") + F.col("more")).alias("words"),
+                F.least(F.lit(min_words), F.col("words") + F.col("end")).alias("words"),
+                F.col("end").alias("last"),
             )
         )
-        width *= 2
+        width += 1
     return found.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(
         F.collect_set("run").alias("_runs")
     )

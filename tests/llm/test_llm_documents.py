@@ -347,6 +347,37 @@ def test_runs_of_short_lines(spark):
     assert cut_lines("a\n\nb\nc", [(1, 1)]) == ("a\n\nc", 1, [(1, 1)])
 
 
+def all_runs(rows, min_words=5):
+    """Per text, the lines removed by later copies of runs of every length."""
+    docs = {i: [s.strip(BLANKS) for s in t.split("\n") if s.strip(BLANKS)] for i, t in rows}
+    gone, seen = {i: set() for i in docs}, set()
+    for i in sorted(docs):
+        for at in range(len(docs[i])):
+            for end in range(at + 1, len(docs[i]) + 1):
+                run = tuple(docs[i][at:end])
+                if run in seen and sum(len(s.split()) for s in run) >= min_words:
+                    gone[i].update(range(at, end))
+                seen.add(run)
+    return {i: len(g) for i, g in gone.items()}
+
+
+def test_runs_of_every_length(spark):
+    words = ["a b", "c d", "e f"]
+    menu = ["home", "news", "shop", "help", "about", "login", "cart"]
+    edge = ["x", "y", "one two three four five six", "z"]
+    rows = [(1, "p\n" + "\n".join(words) + "\nq"), (2, "r\n" + "\n".join(words) + "\ns")]
+    for n in (5, 6, 7):
+        rows += [(n * 10 + k, f"{n} {k}\n" + "\n".join(f"{m}{n}" for m in menu[:n])) for k in (0, 1)]
+    rows += [(100, "\n".join(edge)), (101, "v\n" + "\n".join(edge) + "\nw")]
+    expected = {2: 3, 51: 5, 61: 6, 71: 7, 101: 4}
+    draw = random.Random(11)
+    lines = ["a", "b", "c", "d e", "f g h", "one two three four five six"]
+    rows += [(200 + k, "\n".join(draw.choices(lines, k=draw.randint(1, 14)))) for k in range(60)]
+    found = {r.doc_id: r.n_removed for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: n for i, n in found.items() if i < 200 and n} == expected
+    assert found == all_runs(rows)
+
+
 # Language
 
 LANGS = {"en": "the of and with this that ing tion".split(), "fr": "les une pour êtes où ça dans nous".split()}
