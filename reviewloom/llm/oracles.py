@@ -117,8 +117,85 @@ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component
 from least left join counted using (vec_id)
 """
 
+COLLOCATIONS = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\n\x0b\x0c\r]')) as piece
+    from documents
+), bags as (
+    select lang, regexp_extract_all(piece, '[^ \t]+') as words from pieces
+), spots as (
+    select lang, words, size, unnest(range(1, len(words) - size + 2)) as i
+    from bags, (values (1), (2), (3)) as sizes(size)
+), counts as (
+    select lang, size, array_to_string(words[i : i + size - 1], ' ') as phrase, count(*) as f
+    from spots group by all
+), totals as (
+    select lang, cast(sum(f) as bigint) as n from counts where size = 1 group by lang
+), candidates as (
+    select lang, size, phrase, f as a, string_split(phrase, ' ') as words
+    from counts where size > 1 and f >= 10
+), cuts as (
+    select lang, size, phrase, a, k,
+        array_to_string(words[:k], ' ') as first, array_to_string(words[k + 1 :], ' ') as rest
+    from candidates, (values (1), (2)) as places(k) where k < size
+), scored as (
+    select c.lang, c.size, c.phrase, c.a, k, l.f as l, r.f as r,
+        cast(1000000 * cast(a as hugeint) * a // (cast(l.f as hugeint) * r.f) as bigint) as score
+    from cuts c
+    join counts l on l.lang = c.lang and l.phrase = c.first
+    join counts r on r.lang = c.lang and r.phrase = c.rest
+), worst as (
+    select * from scored
+    qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), around as (
+    select lang, phrase, max(a) as a from (
+        select lang, a, array_to_string(words[:2], ' ') as phrase from candidates where size = 3
+        union all
+        select lang, a, array_to_string(words[2:], ' ') from candidates where size = 3
+    ) group by lang, phrase
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+    phrase, a, l, r, n, score
+from (
+    select w.* from worst w left join around o on o.lang = w.lang and o.phrase = w.phrase and w.size = 2
+    where o.a is null or 100 * o.a < 50 * w.a
+) join totals using (lang)
+qualify rank <= 2000
+"""
+
+HARD_NEGATIVES = """
+with vectors as (
+    select distinct vec_id, embedding,
+        case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+), whole as (
+    select vec_id, label, [floor(256 * cast(x as double)) for x in embedding] as v from vectors
+    where len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scores as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+        cast(list_dot_product(a.v, b.v) as bigint) as score
+    from whole a join whole b on len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+    where a.vec_id % 100 = 0
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+    cast(row_number() over (
+        partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op6_suffix_dedup": SUFFIX_DEDUP,
     "op7_line_dedup": LINE_DEDUP,
     "op10_embedding_near_dedup": EMBEDDING_NEAR_DEDUP,
+    "op11_collocations": COLLOCATIONS,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

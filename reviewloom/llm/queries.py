@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewloom.llm.caps import embedding_groups
 from reviewloom.llm.common import table
 from reviewloom.llm.language import identify
 from reviewloom.llm.lines import repeated_lines
+from reviewloom.llm.negatives import hard_negatives
 from reviewloom.llm.neighbors import nearest_neighbors
 from reviewloom.llm.oracles import ORACLES as ORACLES
 from reviewloom.llm.packing import pack
+from reviewloom.llm.phrases import collocations
 from reviewloom.llm.pieces import round_trip
 from reviewloom.llm.pii import span_digest
+from reviewloom.llm.quality import quality_scores
 from reviewloom.llm.simhash import simhash_groups
 from reviewloom.llm.suffix import repeated_bytes
 from reviewloom.llm.urls import judge_urls
@@ -67,6 +71,24 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        table(spark, sf_dir, "labels", "doc_id", "quality"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector gets the next label first, so that near rows differ in label."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -78,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_hard_negatives": op13_hard_negatives,
 }
