@@ -13,7 +13,7 @@ from reviewloom.llm.lines import without_repeated_lines
 from reviewloom.llm.packing import pack
 from reviewloom.llm.pii import masked
 from reviewloom.llm.queries import BYTE_TOKENIZER
-from reviewloom.llm.shingles import shingle_groups
+from reviewloom.llm.simhash import simhash_groups
 
 # Of a document's n-grams so many must be known in its language; documents in two
 # languages have about half, and stay.
@@ -40,11 +40,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id, once if it is repeated.
 
-    Links are pairs whose sets of five-word shingles have Jaccard similarity 0.8 or
-    more. A SimHash budget of few bits misses most of them, so none is used here. A
-    document without id cannot stand for a group and goes.
+    Groups are those of the operator: fingerprints of four-word shingles that differ in
+    at most four bits, links followed to the end. A document without id cannot stand
+    for a group and goes.
     """
-    ids = shingle_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    groups = simhash_groups(docs)
+    ids = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 

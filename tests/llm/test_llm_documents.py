@@ -248,45 +248,43 @@ def test_pigeonring_loses_no_pair(spark, monkeypatch):
     links = [(i, j) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 4]
     assert found == components(range(len(bits)), links)
 
-
-# Shingle similarity
-
-
-def plain_shingles(text):
-    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
-    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_stage_links_all_pairs_of_similarity_point_eight(spark, texts, monkeypatch):
-    from reviewloom.llm import shingles, stages
-
-    draw = random.Random(13)
-    rows = [(i, t, len(t or "")) for i, t in texts]
-    for g in range(25):
-        words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
-        rows.append((1000 + g * 10, " ".join(words), 0))
-        for k in range(1, 6):
-            copy = list(words)
-            for at in draw.sample(range(200), draw.choice([1, 3, 4, 5, 6, 8])):
-                copy[at] = f"x{draw.randrange(10**6)}"
-            rows.append((1000 + g * 10 + k, " ".join(copy), 0))
-    # Fewer words than a shingle, pairs at 0.8 exactly and just below.
-    rows += [(2000, "a b c", 0), (2001, "A b C", 0), (2002, "a b d", 0)]
-    rows += [(2003, "k1 k2 k3 k4 k5 k6 k7 k8", 0), (2004, "k1 k2 k3 k4 k5 k6 k7 k8 k9", 0), (2005, "k1 k2 k3 k4 k5 k6 k7", 0)]
-    sets = {i: plain_shingles(t) for i, t, _ in rows if i is not None}
-    links = [
-        (a, b) for a in sets for b in sets
-        if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
-    ]
-    expected = components(sets, links)
-    assert expected[2004] == 2003 and expected[2005] == 2005 and expected[7] == 6
-    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
-    monkeypatch.setattr(shingles, "BLOCK_ROWS", 3)  # buckets in cells
-    for row in shingles.shingle_groups(frame).collect():
-        if row.doc_id is not None:
-            assert row.component_id == expected[row.doc_id], row.doc_id
-    kept = sorted(r.doc_id for r in stages.simhash_near_dedup(spark, frame, "").collect())
-    assert kept == sorted(i for i in expected if expected[i] == i)
+# Pipeline stage of near duplicates
+
+
+def test_stage_keeps_one_document_of_each_group(spark, docs, texts):
+    from reviewloom.llm import stages
+
+    kept = stages.simhash_near_dedup(spark, docs, "").collect()
+    prints = [(i, fingerprint(t)) for i, t in texts]
+    expected = set()
+    for i, own in prints:
+        group = {own}
+        while True:
+            more = {p for _, p in prints if any((p ^ g).bit_count() <= 4 for g in group)}
+            if more == group:
+                break
+            group = more
+        expected.add(min((j for j, p in prints if p in group and j is not None), default=None))
+    assert sorted(r.doc_id for r in kept) == sorted(expected - {None})
+    assert all((r.doc_id, r.text) in texts for r in kept)
+
+
+def test_stage_work_follows_the_copies_not_their_pairs(spark, monkeypatch):
+    """Each of 400 near copies gives at most one link for each of its ten keys."""
+    from reviewloom.llm import simhash, stages
+
+    base = prose(7, 200).split()
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[i % 200] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    made, find = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: made.append(edges.count()) or find(edges))
+    kept = stages.simhash_near_dedup(spark, frame, "").count()
+    assert len({fingerprint(t) for _, t in rows}) > 100
+    assert kept < 40 and 0 < made[0] <= 10 * 400
 
 
 # SentencePiece
