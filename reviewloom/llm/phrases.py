@@ -37,7 +37,7 @@ MARKS = 1 << 26
 EDGE = 256
 DENSE_CELLS = 4  # a tile is dense from one pair for so many cells
 GRID = 64  # only the first GRID x GRID tiles can be dense
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 _BITMAP_BITS = 32768  # of one row of Spark's bitmap functions
 
 _BLANK, _BREAK, _WORD = 0, 1, 2
@@ -54,7 +54,8 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     which = coded.indices.to_numpy(zero_copy_only=False)
     for number, lang in enumerate(coded.dictionary.to_pylist()):
         data, offsets = text_bytes(batch.column("text").take(pa.array(np.flatnonzero(which == number))))
-        data = _LOWER[np.insert(data, offsets[1:], 0x0A)]
+        data = np.insert(data, offsets[1:], 0x0A)
+        np.take(_LOWER, data, out=data, mode="clip")
         ends = np.flatnonzero(_CLASS[data] == _BREAK) + 1
         low = 0
         while low < len(data):
