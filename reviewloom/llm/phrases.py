@@ -324,13 +324,22 @@ def collocations(
         .groupBy("lang", "phrase")
         .agg(F.max("a").alias("around"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (
+    best = (
         worst.join(around, ["lang", "phrase"], "left")
         .filter(F.col("around").isNull() | (100 * F.col("around") < share * F.col("a")))
         .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top)
+    )
+    # No task ranks a whole language: the best of many shares, then of few, then of all.
+    for shares in (1024, 16, 1):
+        deal = F.pmod(F.xxhash64("phrase"), F.lit(shares))
+        order = Window.partitionBy("lang", "deal").orderBy(F.desc("score"), F.desc("a"), "phrase")
+        best = (
+            best.withColumn("deal", deal)
+            .withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= top)
+        )
+    return (
+        best
         .join(totals, "lang")
         .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
     )
