@@ -3,10 +3,15 @@
 Everything here starts from a *value histogram*: one row per (group, value)
 with its number of input rows. It is built with map-side combining, so a value
 or a group that holds a third of the table costs each map task one row per
-distinct value. Quantiles are ranks, read off running counts of the histogram:
-totals of slices of the value axis tell which slice holds a wanted rank, and only
-the rows of these slices are sorted, each slice on its own. There is one path for
-few and many, small and large groups.
+distinct value. Quantiles are ranks, found in this histogram by descent through
+digits that sort like the value: first a 1024th of a doubling, then the nearest
+single-precision number. Totals of the first digit, combined before they are
+shuffled, tell which cells hold a wanted rank; only these cells are split by the next
+digit, and in the end only values equal in both are sorted. Digits follow from the
+value alone, so no outlier can change how the other values are cut.
+
+Sums of further columns of the histogram, such as the parts of rates, are carried
+through the totals: ranks and sums read the same shuffle of one scan.
 
 Quantile columns are named ``_q0``, ``_q1``, ... in the order of ``probs``.
 """
@@ -25,12 +30,9 @@ EXACT = (T.IntegralType, T.DecimalType)
 VALUE = "_value"
 ROWS = "_rows"
 
-# A slice spans 1/65536 of the distance from the least value of the histogram, so
-# a group has at most 65536 slices per factor of e, however many rows it has. The
-# number only balances the work; results do not depend on it.
-_SLICES_PER_E_FOLD = 65536
-# Above the logarithm of the inverse of every double.
-_E_FOLDS = 746
+_DIGITS = ["_d0", "_d1"]
+# Digits after the point of interpolated whole numbers.
+_FRACTION = 10
 
 
 def value_histogram(
@@ -45,11 +47,26 @@ def value_histogram(
     """
     kind = df.select(value.alias(VALUE)).schema[VALUE].dataType
     known = value if isinstance(kind, EXACT) else nan_to_null(value)
-    return df.groupBy(*keys, known.alias(VALUE)).agg(
-        F.count(F.lit(1)).alias(ROWS), *aggregates
+    return _as_one(
+        df.groupBy(*keys, known.alias(VALUE)).agg(F.count(F.lit(1)).alias(ROWS), *aggregates)
     )
 
 
+def rolled_up(hist: DataFrame, keys: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
+    """The histogram of coarser groups: counts and the named sums added up."""
+    sums = [F.sum(c).alias(c) for c in [ROWS, *parts]]
+    return _as_one(hist.groupBy(*keys, VALUE).agg(*sums))
+
+
+def _as_one(df: DataFrame) -> DataFrame:
+    """The same rows, each passed on as a whole.
+
+    Column pruning would otherwise give every use of a histogram its own version of
+    the shuffle below, and a scan for each.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _ranks(prob: float, interpolation: str) -> tuple[str, str, str]:
     """SQL for the 0-based lower rank, upper rank and the weight of the upper value."""
     position = f"((_total - 1) * {float(prob)!r}D)"
@@ -66,21 +83,38 @@ def _holds(rank: str) -> str:
 
 
 def _wanted(probs: Sequence[float], interpolation: str) -> Column:
-    """Whether a row holds one of the wanted ranks."""
+    """Whether a row holds one of the wanted ranks; without known values any row does."""
     ranks = {rank for prob in probs for rank in _ranks(prob, interpolation)[:2]}
-    return F.expr(" OR ".join(_holds(rank) for rank in sorted(ranks)))
+    return F.expr(" OR ".join(["_total = 0", *(_holds(rank) for rank in sorted(ranks))]))
+
 
+def _picks(probs: Sequence[float], interpolation: str, kind: T.DataType) -> list[Column]:
+    """Aggregates that read the quantiles from ``_before``, ``_counted`` and ``_total``.
 
-def _picks(probs: Sequence[float], interpolation: str) -> list[Column]:
-    """Aggregates that read the quantiles from ``_before``, ``_counted`` and ``_total``."""
+    The nearest value is taken as it is. Interpolation gives doubles, and decimals for
+    whole numbers and decimals, so that a value between no two others stays exact.
+    """
     picks = []
     for i, prob in enumerate(probs):
         low, high, weight = _ranks(prob, interpolation)
         at_low = f"max(CASE WHEN {_holds(low)} THEN {VALUE} END)"
         at_high = f"max(CASE WHEN {_holds(high)} THEN {VALUE} END)"
-        between = f"{at_low} * (1 - max({weight})) + {at_high} * max({weight})"
-        pick = f"CASE WHEN max({weight}) = 0 THEN {at_low} ELSE {between} END"
-        picks.append(F.expr(pick).alias(f"_q{i}"))
+        if interpolation == "nearest":
+            picks.append(F.expr(at_low).alias(f"_q{i}"))
+            continue
+        share = f"max({weight})"
+        if isinstance(kind, EXACT):
+            whole = kind.precision - kind.scale if isinstance(kind, T.DecimalType) else 19
+            scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+            to = f"decimal(38,{max(scale, min(_FRACTION, 38 - whole))})"
+            step = f"cast(({at_high} - {at_low}) * cast({share} as decimal(18,17)) as {to})"
+            at_low = f"cast({at_low} as {to})"
+            between = f"{at_low} + {step}"
+        else:
+            to = "double"
+            between = f"{at_low} * (1 - {share}) + {at_high} * {share}"
+        pick = f"CASE WHEN {share} = 0 THEN {at_low} ELSE {between} END"
+        picks.append(F.expr(f"cast({pick} as {to})").alias(f"_q{i}"))
     return picks
 
 
@@ -88,16 +122,16 @@ def _so_far(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _slice_number(known: DataFrame) -> Column:
-    """A whole number that never falls as the value rises.
+def _digits(value: Column) -> list[Column]:
+    """Numbers that, compared in this order, never fall as the value rises.
 
-    It follows the logarithm of the distance from the least value, a scalar
-    subquery. That reads both columns, so that it shares the histogram's shuffle.
+    A 1024th of a doubling, with the sign, and the nearest single-precision number. Both
+    only balance the work; results do not depend on them.
     """
-    least = known.agg(F.min(F.when(F.col("_counted") > 0, F.col(VALUE))).cast("double")).scalar()
-    distance = F.col(VALUE).cast("double") - least
-    size = F.floor((F.log(distance) + _E_FOLDS) * _SLICES_PER_E_FOLD)
-    return F.when(distance > 0, size).otherwise(0)
+    number = value.cast("double")
+    step = F.floor(F.log2(F.abs(number)) * 1024 + (1 << 21))
+    coarse = F.when(number < 0, -step).when(number > 0, step).when(number == 0, 0)
+    return [coarse, number.cast("float")]
 
 
 def sliced_quantiles(
@@ -105,42 +139,63 @@ def sliced_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     interpolation: str = "linear",
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Exact quantiles per group, for any number and size of groups; nulls are left out.
 
-    Without keys there is always one row; a group of nulls alone gives no row.
+    ``totals`` names columns of the histogram whose sums over all rows of the group,
+    those of null values too, are added. Without keys there is always one row; a group
+    of nulls alone has null quantiles.
     """
-    keys = list(keys)
-    known = hist.where(F.col(VALUE).isNotNull()).select(
-        *keys, VALUE, F.col(ROWS).alias("_counted")
-    )
-    sliced = known.withColumn("_slice", _slice_number(known))
+    keys, totals = list(keys), list(totals)
+    kind = hist.schema[VALUE].dataType
+    counted = F.when(F.col(VALUE).isNotNull(), F.col(ROWS)).otherwise(F.lit(0).cast("bigint"))
+    digits = [c.alias(name) for c, name in zip(_digits(F.col(VALUE)), _DIGITS)]
+    rows = hist.select(*keys, VALUE, counted.alias("_counted"), *digits, *totals)
+    wanted = _wanted(probs, interpolation)
+
     group = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = F.sum("_counted").over(_so_far(group.orderBy("_slice"))) - F.col("_counted")
-    targets = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.sum("_counted").alias("_counted"))
-        .withColumn("_before", before)
-        .withColumn("_total", F.sum("_counted").over(group))
-        .where(_wanted(probs, interpolation))
-        .select(
-            *[F.col(name).alias(f"_at_{name}") for name in [*keys, "_slice", "_before"]],
-            "_total",
+    sums = F.sum("_counted").alias("_counted")
+    cells = rows.groupBy(*keys, _DIGITS[0]).agg(sums, *[F.sum(c).alias(c) for c in totals])
+    running = F.sum("_counted").over(_so_far(group.orderBy(_DIGITS[0])))
+    cells = cells.withColumns(
+        {
+            "_before": running - F.col("_counted"),
+            "_total": F.sum("_counted").over(group),
+            **{c: F.sum(c).over(group) for c in totals},
+        }
+    ).where(wanted)
+    carried = ["_before", "_total", *totals]
+    plain = rows.drop(*totals)
+
+    def inside(cells: DataFrame, at: list[str]) -> DataFrame:
+        """Rows of the wanted cells, with what their cell carries."""
+        cells = cells.select(*[F.col(c).alias(f"_at{c}") for c in at], *carried)
+        # Null-safe on every column: a plain equality would make the optimizer add
+        # not-null filters on one side, and the histogram could not be reused.
+        same = F.lit(True)
+        for name in at:
+            same = same & F.col(name).eqNullSafe(F.col(f"_at{name}"))
+        # Without groups there are at most two cells a quantile; else Spark decides.
+        return plain.join(cells if keys else F.broadcast(cells), same).drop(
+            *[f"_at{c}" for c in at]
         )
-    )
-    # Null-safe on every column: a plain equality would make the optimizer add
-    # not-null filters on one side, and the histogram could not be reused.
-    same = F.col("_slice").eqNullSafe(F.col("_at__slice"))
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
-    in_slice = _so_far(Window.partitionBy(*keys, "_slice").orderBy(VALUE))
-    # Spark broadcasts the wanted slices if they are few, and shuffles otherwise.
-    return (
-        sliced.join(targets, same)
-        .withColumn(
-            "_before",
-            F.col("_at__before") + F.sum("_counted").over(in_slice) - F.col("_counted"),
+
+    for depth in range(1, len(_DIGITS)):
+        at = [*keys, *_DIGITS[:depth]]
+        running = F.sum("_counted").over(_so_far(Window.partitionBy(*at).orderBy(_DIGITS[depth])))
+        cells = (
+            inside(cells, at)
+            .groupBy(*at, _DIGITS[depth])
+            .agg(sums, *[F.first(c).alias(c) for c in carried])
+            .withColumn("_before", F.col("_before") + running - F.col("_counted"))
+            .where(wanted)
         )
+    at = [*keys, *_DIGITS]
+    running = F.sum("_counted").over(_so_far(Window.partitionBy(*at).orderBy(VALUE)))
+    return (
+        inside(cells, at)
+        .withColumn("_before", F.col("_before") + running - F.col("_counted"))
         .groupBy(*keys)
-        .agg(*_picks(probs, interpolation))
+        .agg(*_picks(probs, interpolation, kind), *[F.first(c).alias(c) for c in totals])
     )

@@ -79,15 +79,18 @@ def quantile_report(
     interpolation: str = "linear",
     extremes: bool = False,
 ) -> DataFrame:
-    """One row with the named quantiles and, with ``extremes``, least and greatest value."""
+    """One row with the named quantiles and, with ``extremes``, least and greatest value.
+
+    Nearest quantiles and extremes have the type of the column. Interpolated ones are
+    doubles, or decimals if the column holds whole numbers or decimals.
+    """
     hist = value_histogram(df, F.col(column))
     report = sliced_quantiles(hist, list(probs.values()), interpolation=interpolation)
     report = report.withColumnsRenamed({f"_q{i}": name for i, name in enumerate(probs)})
     if not extremes:
         return report
-    known = hist.where(F.col(VALUE).isNotNull())
     kind = df.schema[column].dataType
-    ends = known.agg(
+    ends = hist.agg(
         F.min(VALUE).cast(kind).alias("min"), F.max(VALUE).cast(kind).alias("max")
     )
     return merge_by_key([], report, ends)

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.columns import days_between, flag, text_length, word_count
-from reviewloom.functions.frames import merge_by_key
-from reviewloom.operators.summaries import medians_by
+from reviewloom.operators.summaries import summarise
 
 # Length above which a text is extreme, upper day limits of the stages.
 EXTREME_LENGTH = 8000
@@ -32,12 +31,15 @@ def text_features(df: DataFrame, column: str = "review", extreme: int = EXTREME_
 
 def text_feature_stats(df: DataFrame) -> DataFrame:
     """Median length and word count, number of extreme texts, helpful rate."""
-    totals = df.agg(
-        F.sum("extreme_text").alias("extreme_text_count"),
-        F.avg("received_helpful_vote").alias("helpful_review_rate"),
-    )
     medians = {"median_review_length": "review_length", "median_word_count": "review_word_count"}
-    return merge_by_key([], medians_by(df, [], medians), totals)
+    stats = summarise(
+        df,
+        [],
+        {"helpful_review_rate": "received_helpful_vote"},
+        medians,
+        sums={"extreme_text_count": "extreme_text"},
+    )
+    return stats.select(*medians, "extreme_text_count", "helpful_review_rate")
 
 
 def longest_texts(
@@ -60,13 +62,31 @@ def longest_texts(
     ).drop(column)
 
 
+def one_row_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` with a known key; a query that reads a repeated key fails, naming it.
+
+    The check is part of the plan, in the key itself, so it costs no job of its own and
+    no use of the key can skip it.
+    """
+    message = F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string"))
+    checked = F.when(F.col("_rows") > 1, F.raise_error(message)).otherwise(F.col(key))
+    others = [c for c in df.columns if c != key]
+    return (
+        df.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in others])
+        .select(*[checked.alias(key) if c == key else F.col(c) for c in df.columns])
+    )
+
+
 def join_games(reviews: DataFrame, games: DataFrame) -> DataFrame:
     """Reviews with the columns of their game; reviews of unknown games are kept.
 
-    The join has no hint: Spark broadcasts the catalogue if its size allows it,
-    and otherwise shuffles and splits the partitions of games with very many reviews.
+    A repeated game would multiply its reviews in every count, so the join refuses it.
+    It has no hint: Spark broadcasts the catalogue if its size allows it, and otherwise
+    shuffles and splits the partitions of games with very many reviews.
     """
-    dimension = games.withColumnRenamed("appID", "appid")
+    dimension = one_row_per_key(games.withColumnRenamed("appID", "appid"), "appid")
     if "name" in dimension.columns:
         dimension = dimension.withColumnRenamed("name", "game_name")
     return reviews.join(dimension, "appid", "left")

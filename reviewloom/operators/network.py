@@ -184,11 +184,13 @@ def edge_stats(edges: DataFrame, weight: str = "shared_games") -> DataFrame:
 
     The median interpolates; the two quantiles are the nearest actual weight.
     """
-    return merge_by_key(
+    stats = merge_by_key(
         [],
         quantile_report(edges, weight, {"median": 0.5}, extremes=True),
         quantile_report(edges, weight, {"q75": 0.75, "q90": 0.9}, interpolation="nearest"),
-    ).select("min", "median", "q75", "q90", "max")
+    )
+    quantiles = [F.col(c).cast("double").alias(c) for c in ("median", "q75", "q90")]
+    return stats.select("min", *quantiles, "max")
 
 
 def strong_edges(

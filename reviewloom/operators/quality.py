@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from reviewloom.functions.columns import lenient_number
 from reviewloom.functions.frames import merge_by_key
-from reviewloom.functions.quantiles import sliced_quantiles, value_histogram
+from reviewloom.functions.quantiles import ROWS, VALUE, sliced_quantiles, value_histogram
 
 
 def _is_missing(df: DataFrame, name: str) -> Column:
@@ -97,27 +97,31 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, least value, exact quartiles and greatest value."""
-    stacked = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_in"))
-                    for c in columns
-                ]
-            )
-        )
+    """Count, mean, sample deviation, least value, exact quartiles and greatest value.
+
+    Moments and quartiles are read off one histogram, so the input is read once.
+    """
+    each = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_in"))
+        for c in columns
+    ]
+    hist = value_histogram(df.select(F.inline(F.array(*each))), F.col("_in"), ["column_name"])
+    known = F.sum(F.when(F.col(VALUE).isNotNull(), F.col(ROWS)))
+    mean = F.sum(F.col(VALUE) * F.col(ROWS)) / known
+    # One mean per profiled column; deviations are taken from it, not from zero.
+    means = hist.groupBy("column_name").agg(mean.alias("mean"))
+    means = means.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "mean"))))
+    off = F.col(VALUE) - means.scalar()[F.col("column_name")]
+    basics = hist.groupBy("column_name").agg(
+        F.coalesce(known, F.lit(0)).alias("count"),
+        mean.alias("mean"),
+        F.sqrt(F.sum(off * off * F.col(ROWS)) / F.nullif(known - 1, F.lit(0))).alias("std"),
+        F.min(VALUE).alias("min"),
+        F.max(VALUE).alias("max"),
     )
-    basics = stacked.groupBy("column_name").agg(
-        F.count("_in").alias("count"),
-        F.avg("_in").alias("mean"),
-        F.stddev_samp("_in").alias("std"),
-        F.min("_in").alias("min"),
-        F.max("_in").alias("max"),
+    quarters = sliced_quantiles(hist, [0.25, 0.5, 0.75], ["column_name"]).withColumnsRenamed(
+        {"_q0": "q25", "_q1": "q50", "_q2": "q75"}
     )
-    quarters = sliced_quantiles(
-        value_histogram(stacked, F.col("_in"), ["column_name"]), [0.25, 0.5, 0.75], ["column_name"]
-    ).withColumnsRenamed({"_q0": "q25", "_q1": "q50", "_q2": "q75"})
     return merge_by_key(["column_name"], basics, quarters).select(
         "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
@@ -150,15 +154,6 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def require_unique(df: DataFrame, key: str, shown: int = 5) -> DataFrame:
-    """``df`` itself; raises, naming a few keys, if a join on ``key`` would multiply rows."""
-    found = repeated_keys(df, key).orderBy(key).head(shown)
-    if found:
-        keys = ", ".join(f"{row[key]} ({row.n_rows} rows)" for row in found)
-        raise ValueError(f"{key} is not unique: {keys}")
-    return df
-
-
 def _is_string(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 

@@ -1,4 +1,8 @@
-"""Group summaries: row count, rates of 0/1 columns and exact medians."""
+"""Group summaries: row count, rates of 0/1 columns and exact medians.
+
+Every summary reads its input once: counts, sums and medians come from one value
+histogram, see ``functions.quantiles``.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from reviewloom.functions.frames import merge_by_key
 from reviewloom.functions.quantiles import (
     ROWS,
     VALUE,
+    rolled_up,
     sliced_quantiles,
     value_histogram,
 )
@@ -21,82 +26,80 @@ from reviewloom.operators.buckets import (
     cut_points,
     label_by_cuts,
 )
-from reviewloom.sources.files import checkpointed
-
-
-def _stacked(
-    df: DataFrame, keys: Sequence[str], medians: dict[str, str]
-) -> tuple[DataFrame, list[str]]:
-    """The columns to take medians of as one column ``_in``, and the group keys.
+from reviewloom.sources.files import written
 
-    Several columns become one row each, told apart by the key ``_measure``.
-    """
-    columns = list(medians.values())
-    if len(columns) == 1:
-        return df.select(*keys, F.col(columns[0]).alias("_in")), list(keys)
-    measures = [
-        F.struct(F.lit(i).alias("_measure"), F.col(c).cast("double").alias("_in"))
-        for i, c in enumerate(columns)
-    ]
-    return df.select(*keys, F.inline(F.array(*measures))), [*keys, "_measure"]
+_MEASURE = "_measure"
 
 
-def _unstacked(
-    df: DataFrame, keys: Sequence[str], medians: dict[str, str]
+def measure_histogram(
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], summed: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group again, with a column for every median."""
-    if len(medians) == 1:
-        return df.withColumnRenamed("_q0", next(iter(medians)))
-    spread = [
-        F.max(F.when(F.col("_measure") == i, F.col("_q0"))).alias(name)
-        for i, name in enumerate(medians)
-    ]
-    return df.groupBy(*keys).agg(*spread)
-
+    """One histogram for several columns, told apart by the key ``_measure``.
 
-def medians_by(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
-    """Exact medians for any number and size of groups."""
-    stacked, by = _stacked(df, keys, medians)
-    hist = value_histogram(stacked, F.col("_in"), by)
-    return _unstacked(sliced_quantiles(hist, [0.5], by), keys, medians)
+    The sums and the known values of the ``summed`` columns (``_sum_x``, ``_known_x``)
+    stand with the first measure, so that they count every input row once.
+    """
+    summed = list(dict.fromkeys(summed))
+    if len(measures) == 1:
+        rows = df.select(*keys, *summed, F.col(measures[0]).alias("_in"), F.lit(0).alias(_MEASURE))
+    else:
+        each = [
+            F.struct(F.lit(i).alias(_MEASURE), F.col(c).cast("double").alias("_in"))
+            for i, c in enumerate(measures)
+        ]
+        rows = df.select(*keys, *summed, F.inline(F.array(*each)))
+    own = {c: F.when(F.col(_MEASURE) == 0, F.col(c)) for c in summed}
+    return value_histogram(rows, F.col("_in"), [*keys, _MEASURE], _sums(own))
+
+
+def _sums(columns: dict[str, Column]) -> list[Column]:
+    """Aggregates from which sums and rates of columns can be had, for any coarser group too."""
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{n}") for n, c in columns.items()] + [
+        F.count(c).alias(f"_known_{n}") for n, c in columns.items()
+    ]
 
 
-def _totals(df: DataFrame, keys: Sequence[str], rates: dict[str, str], count: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(count), *[F.avg(c).alias(n) for n, c in rates.items()]
-    )
+def _parts(summed: Sequence[str]) -> list[str]:
+    return [f"_{kind}_{c}" for c in dict.fromkeys(summed) for kind in ("sum", "known")]
 
 
-def rate_parts(rates: dict[str, str]) -> list[Column]:
-    """Aggregates that keep the rates of a histogram's columns computable."""
-    columns = list(dict.fromkeys(rates.values()))
-    return [F.sum(c).alias(f"_sum_{c}") for c in columns] + [
-        F.count(c).alias(f"_known_{c}") for c in columns
-    ]
+def _rate(column: str) -> Column:
+    return F.col(f"_sum_{column}") / F.nullif(F.col(f"_known_{column}"), F.lit(0))
 
 
-def rates_from_parts(rates: dict[str, str]) -> list[Column]:
-    """The rates of groups of histogram rows."""
-    return [
-        (F.sum(f"_sum_{c}") / F.nullif(F.sum(f"_known_{c}"), F.lit(0))).alias(name)
-        for name, c in rates.items()
-    ]
+def _total(column: str) -> Column:
+    """Sum of a column, null without any known value."""
+    return F.when(F.col(f"_known_{column}") > 0, F.col(f"_sum_{column}"))
 
 
 def summarise_histogram(
     hist: DataFrame,
     keys: Sequence[str],
     rates: dict[str, str],
-    median: str,
+    medians: Sequence[str],
     count: str = "review_count",
+    sums: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Count, rates and exact median per group of a histogram with ``rate_parts``.
+    """Count, rates, sums and exact medians per group of a ``measure_histogram``.
 
-    For histograms that were written once and serve several results.
+    ``medians`` names the result columns of its measures, in their order.
     """
-    totals = hist.groupBy(*keys).agg(F.sum(ROWS).alias(count), *rates_from_parts(rates))
-    middle = sliced_quantiles(hist, [0.5], keys).withColumnRenamed("_q0", median)
-    return merge_by_key(keys, totals, middle).select(*keys, count, *rates, median)
+    sums = sums or {}
+    parts = _parts([*rates.values(), *sums.values()])
+    found = sliced_quantiles(hist, [0.5], [*keys, _MEASURE], totals=[ROWS, *parts])
+    first = F.col(_MEASURE) == 0
+    spread = [F.max(F.when(first, F.col(c))).alias(c) for c in [ROWS, *parts]]
+    spread += [
+        F.max(F.when(F.col(_MEASURE) == i, F.col("_q0"))).cast("double").alias(name)
+        for i, name in enumerate(medians)
+    ]
+    return found.groupBy(*keys).agg(*spread).select(
+        *keys,
+        F.coalesce(F.col(ROWS), F.lit(0).cast("bigint")).alias(count),
+        *[_rate(c).alias(name) for name, c in rates.items()],
+        *[_total(c).alias(name) for name, c in sums.items()],
+        *medians,
+    )
 
 
 def summarise(
@@ -105,14 +108,17 @@ def summarise(
     rates: dict[str, str],
     medians: dict[str, str],
     count: str = "review_count",
+    sums: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Count, rates and exact medians for any number and size of groups.
+    """Count, rates, sums and exact medians for any number and size of groups, in one scan."""
+    summed = [*rates.values(), *(sums or {}).values()]
+    hist = measure_histogram(df, keys, list(medians.values()), summed)
+    return summarise_histogram(hist, keys, rates, list(medians), count, sums)
 
-    The rates are a plain aggregation; a second scan of the keys and the columns to
-    take medians of gives the medians.
-    """
-    merged = merge_by_key(keys, _totals(df, keys, rates, count), medians_by(df, keys, medians))
-    return merged.select(*keys, count, *rates, *medians)
+
+def medians_by(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
+    """Exact medians for any number and size of groups."""
+    return summarise(df, keys, {}, medians, "_count").drop("_count")
 
 
 def playtime_summary(
@@ -125,25 +131,23 @@ def playtime_summary(
     """Reviews by playtime quartile: count, approval, median hours, helpful rate.
 
     Rows come in bucket order. ``medians`` adds the medians of further columns.
-    The cut-points and the median hours come from one histogram of playtime; the
-    reviews are read once more for the rates.
+    Cut-points, rates and median hours come from one scan and one histogram
+    of playtime, which this function computes; further medians read the reviews once more.
     """
     key = "playtime_group"
-    rates = {"approval_rate": "voted_up", "helpful_review_rate": "received_helpful_vote"}
-    # Nulls leave here as well as in the quantiles, so that both share the shuffle.
-    hist = value_histogram(reviews, F.col(playtime)).where(F.col(VALUE).isNotNull())
+    rates = {name: _RATES[name] for name in ("approval_rate", "helpful_review_rate")}
+    hist = written(measure_histogram(reviews, [], [playtime], rates.values()))
     cuts = cut_points(hist)
-    labelled = label_by_cuts(reviews, F.col(playtime), cuts, labels, key, null_bucket)
-    if not null_bucket:
-        labelled = labelled.where(F.col(key).isNotNull())
-    middle = sliced_quantiles(label_by_cuts(hist, F.col(VALUE), cuts, labels, key), [0.5], [key])
-    frames = [
-        _totals(labelled, [key], rates, "review_count"),
-        middle.withColumnRenamed("_q0", "median_playtime_hours"),
-    ]
+
+    def labelled(df: DataFrame, value: str) -> DataFrame:
+        df = label_by_cuts(df, F.col(value), cuts, labels, key, null_bucket)
+        return df if null_bucket else df.where(F.col(key).isNotNull())
+
+    summary = summarise_histogram(labelled(hist, VALUE), [key], rates, ["median_playtime_hours"])
     if medians:
-        frames.append(medians_by(labelled, [key], medians))
-    summary = merge_by_key([key], *frames).select(*PLAYTIME_COLUMNS, *(medians or {}))
+        more = medians_by(labelled(reviews, playtime), [key], medians)
+        summary = merge_by_key([key], summary, more)
+    summary = summary.select(*PLAYTIME_COLUMNS, *(medians or {}))
     # At most one row per label: one partition sorts them all.
     return summary.repartition(1).sortWithinPartitions(bucket_order(key, labels))
 
@@ -167,38 +171,25 @@ _RATES = {
 }
 
 
-def lifecycle_summary(joined: DataFrame) -> DataFrame:
-    """Reviews by lifecycle stage: count, rates and median hours."""
-    return summarise(
-        joined,
-        ["lifecycle_group"],
-        _RATES,
-        {"median_playtime_hours": "playtime_hours_at_review"},
-    ).select(*LIFECYCLE_COLUMNS)
+_HOURS = {"median_playtime_hours": "playtime_hours_at_review"}
+_SIZES = {**_HOURS, "median_review_length": "review_length"}
 
 
-def playtime_report(reviews: DataFrame, playtime: str = "playtime_hours_at_review") -> DataFrame:
-    """``playtime_summary`` from a single scan, by way of a checkpointed histogram."""
-    key = "playtime_group"
-    rates = {name: _RATES[name] for name in ("approval_rate", "helpful_review_rate")}
-    hist = checkpointed(value_histogram(reviews, F.col(playtime), (), rate_parts(rates)))
-    labelled = label_by_cuts(hist, F.col(VALUE), cut_points(hist), output=key)
-    summary = summarise_histogram(labelled, [key], rates, "median_playtime_hours")
-    return summary.select(*PLAYTIME_COLUMNS).repartition(1).sortWithinPartitions(bucket_order(key))
+def lifecycle_summary(joined: DataFrame) -> DataFrame:
+    """Reviews by lifecycle stage: count, rates and median hours."""
+    return summarise(joined, ["lifecycle_group"], _RATES, _HOURS).select(*LIFECYCLE_COLUMNS)
 
 
 def lifecycle_report(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lifecycle summary and early-access cross-tab from a single scan and join."""
+    """Lifecycle summary and early-access cross-tab from a single scan and join.
+
+    Both read one histogram, which this function computes.
+    """
     flags = ["before_release", "written_during_early_access"]
-    hist = checkpointed(
-        value_histogram(
-            joined,
-            F.col("playtime_hours_at_review"),
-            ["lifecycle_group", *flags],
-            rate_parts(_RATES),
-        )
-    )
-    summary = summarise_histogram(hist, ["lifecycle_group"], _RATES, "median_playtime_hours")
+    keys = ["lifecycle_group", *flags]
+    hist = written(measure_histogram(joined, keys, list(_HOURS.values()), _RATES.values()))
+    by_stage = rolled_up(hist, ["lifecycle_group", _MEASURE], _parts(_RATES.values()))
+    summary = summarise_histogram(by_stage, ["lifecycle_group"], _RATES, list(_HOURS))
     crosstab = (
         hist.groupBy(*flags)
         .agg(F.sum(ROWS).alias("review_count"))
@@ -209,25 +200,34 @@ def lifecycle_report(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def game_review_summary(reviews: DataFrame) -> DataFrame:
     """One row per game; needs ``review_length`` (see ``operators.features``)."""
-    return summarise(
-        reviews,
-        ["appid"],
-        _RATES,
-        {
-            "median_playtime_hours": "playtime_hours_at_review",
-            "median_review_length": "review_length",
-        },
-    ).select(*GAME_COLUMNS)
+    return summarise(reviews, ["appid"], _RATES, _SIZES).select(*GAME_COLUMNS)
+
+
+def _with_month(reviews: DataFrame) -> DataFrame:
+    return reviews.withColumn("review_month", month_start(F.col("review_date")))
 
 
 def game_monthly_reviews(reviews: DataFrame) -> DataFrame:
     """One row per game and calendar month."""
-    return summarise(
-        reviews.withColumn("review_month", month_start(F.col("review_date"))),
-        ["appid", "review_month"],
-        _RATES,
-        {"median_playtime_hours": "playtime_hours_at_review"},
-    ).select(*MONTH_COLUMNS)
+    keys = ["appid", "review_month"]
+    return summarise(_with_month(reviews), keys, _RATES, _HOURS).select(*MONTH_COLUMNS)
+
+
+def rollup_report(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``game_review_summary`` and ``game_monthly_reviews`` from a single scan.
+
+    Both read one histogram by game, month and value; added up over the
+    months it is the histogram by game.
+    """
+    keys = ["appid", "review_month"]
+    hist = written(
+        measure_histogram(_with_month(reviews), keys, list(_SIZES.values()), _RATES.values())
+    )
+    by_game = rolled_up(hist, ["appid", _MEASURE], _parts(_RATES.values()))
+    games = summarise_histogram(by_game, ["appid"], _RATES, list(_SIZES))
+    hours = hist.where(F.col(_MEASURE) == 0)
+    months = summarise_histogram(hours, keys, _RATES, list(_HOURS))
+    return games.select(*GAME_COLUMNS), months.select(*MONTH_COLUMNS)
 
 
 def lifecycle_counts(joined: DataFrame) -> DataFrame:
@@ -250,14 +250,14 @@ def flag_crosstab(df: DataFrame, first: str, second: str, count: str = "review_c
 
 def lag_stats(joined: DataFrame, days: str = "days_since_release") -> DataFrame:
     """Least, median and greatest day lag and the number of negative ones."""
-    hist = value_histogram(joined, F.col(days)).where(F.col(VALUE).isNotNull())
+    hist = value_histogram(joined, F.col(days))
     early = F.sum(F.when(F.col(VALUE) < 0, F.col(ROWS)))
     ends = hist.agg(
         F.min(VALUE).cast("bigint").alias("min_days"),
         F.max(VALUE).cast("bigint").alias("max_days"),
         F.coalesce(early, F.lit(0)).alias("reviews_before_release"),
     )
-    middle = sliced_quantiles(hist, [0.5]).withColumnRenamed("_q0", "median_days")
+    middle = sliced_quantiles(hist, [0.5]).select(F.col("_q0").cast("double").alias("median_days"))
     return merge_by_key([], ends, middle).select(
         "min_days", "median_days", "max_days", "reviews_before_release"
     )

@@ -29,9 +29,10 @@ def query(function: Query) -> Query:
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floats, whose last digits depend on the order of summation."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({name: F.round(name, digits) for name in floats})
+    """Doubles, rounded, as their last digits depend on the order of summation."""
+    kinds = (T.DoubleType, T.DecimalType)
+    floats = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+    return df.withColumns({name: F.round(F.col(name).cast("double"), digits) for name in floats})
 
 
 def _line_reviews(spark, sf_dir, **kwargs) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.operators import clean, features, network, quality, summaries
+from reviewloom.operators import clean, features, network, summaries
 from reviewloom.sources.contracts import GAMES, REVIEWS
 from reviewloom.sources.files import scan_parquet, write_csv, write_parquet
 
@@ -26,15 +26,13 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
 
 def playtime_job(spark: SparkSession, reviews: str, out: str) -> None:
     """Playtime quartile summary."""
-    summary = summaries.playtime_report(read_reviews(spark, reviews))
+    summary = summaries.playtime_summary(read_reviews(spark, reviews))
     _write_summary(summary, f"{out}/q1_playtime_summary")
 
 
 def lifecycle_job(spark: SparkSession, reviews: str, games: str, out: str) -> None:
     """Lifecycle summary and early-access cross-tab."""
     releases = read_games(spark, games).select("appID", "release_date")
-    # A repeated game would multiply its reviews in every count.
-    quality.require_unique(releases, "appID")
     joined = features.add_lifecycle(read_reviews(spark, reviews), releases)
     summary, crosstab = summaries.lifecycle_report(joined)
     _write_summary(summary, f"{out}/q2_lifecycle_summary")
@@ -44,8 +42,9 @@ def lifecycle_job(spark: SparkSession, reviews: str, games: str, out: str) -> No
 def rollup_job(spark: SparkSession, reviews: str, out: str) -> None:
     """One row per game, and one row per game and month."""
     typed = features.text_features(read_reviews(spark, reviews))
-    write_parquet(summaries.game_review_summary(typed), f"{out}/game_review_summary")
-    write_parquet(summaries.game_monthly_reviews(typed), f"{out}/game_monthly_reviews")
+    games, months = summaries.rollup_report(typed)
+    write_parquet(games, f"{out}/game_review_summary")
+    write_parquet(months, f"{out}/game_monthly_reviews")
 
 
 def catalogue_job(spark: SparkSession, games: str, out: str) -> None:

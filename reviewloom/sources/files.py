@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Compute a frame once, as a table in the shared folder.
+
+    Unlike a checkpoint it is compressed and read by column; it outlives the session, so
+    the folder's owner clears it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_parquet(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), single_file: bool = False
 ) -> None:

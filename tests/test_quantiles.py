@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.functions.quantiles import _slice_number, sliced_quantiles, value_histogram
+from reviewloom.functions.quantiles import VALUE, _digits, sliced_quantiles, value_histogram
 from reviewloom.operators.buckets import bucket_by_quantiles, quantile_report
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -51,7 +53,7 @@ def test_groups_with_null_key_and_null_values(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     hist = value_histogram(df, F.col("v"), ["k"])
     sliced = {r.k: r._q0 for r in sliced_quantiles(hist, [0.5], ["k"]).collect()}
-    assert sliced == {None: 2.0, "x": 5.0}
+    assert sliced == {None: 2.0, "x": 5.0, "empty": None}
 
 
 def test_nearest_rounds_half_up(spark):
@@ -98,19 +100,69 @@ def test_labels_must_fit(spark):
         quantile_report(spark.range(3), "id", {"q": 0.5}, interpolation="other")
 
 
-@pytest.mark.parametrize("column", ["id / 3e9", "1700000000 + pmod(id, 86400)", "if(id % 3 = 0, 7, id)"])
-def test_no_slice_holds_much_of_a_column(spark, column):
-    """Values in [0, 1e-4), seconds of one day, one value of a third of the rows."""
+@pytest.mark.parametrize(
+    "column",
+    [
+        "id / 3e9",
+        "1700000000 + pmod(id, 86400)",
+        "if(id % 3 = 0, 7, id)",
+        "if(id = 5, 0, 1700000000 + pmod(id * 7919, 86400))",
+        "if(id = 5, -1e6, 100 + id / 3e5)",
+        "if(id = 5, 1e300, -100 - id / 3e5)",
+    ],
+)
+def test_no_cell_holds_much_of_a_column(spark, column):
+    """Narrow columns, a value of a third of the rows, and one outlier below or above."""
     df = spark.range(300000).selectExpr(f"double({column}) AS v")
-    hist = value_histogram(df, F.col("v")).withColumnRenamed("_rows", "_counted")
-    sizes = hist.withColumn("_slice", _slice_number(hist)).groupBy("_slice").count()
-    assert sizes.agg(F.max("count")).first()[0] < hist.count() / 1000
+    hist = value_histogram(df, F.col("v"))
+    coarse, fine = _digits(F.col(VALUE))
+    hist_size = hist.count()
+    cells = hist.groupBy(coarse.alias("coarse"), fine.alias("fine")).count()
+    # What a task sorts: the values of one cell, and the cells of one coarse digit.
+    assert cells.agg(F.max("count")).first()[0] < hist_size / 100
+    assert cells.groupBy("coarse").count().agg(F.max("count")).first()[0] <= 1 << 14
     expected = df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
-    found = sliced_quantiles(value_histogram(df, F.col("v")), [0.25, 0.5]).first()
+    found = sliced_quantiles(hist, [0.25, 0.5]).first()
     assert list(found) == pytest.approx(expected, rel=1e-12)
 
 
-def test_whole_numbers_above_the_doubles_keep_their_extremes(spark):
-    df = spark.createDataFrame([(2**53 + 1,)], "v bigint")
-    row = quantile_report(df, "v", {"q": 0.5}, extremes=True).first()
-    assert (row.min, row.max) == (2**53 + 1, 2**53 + 1)
+def test_digits_never_fall(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf")]
+    values += [float(np.nextafter(2.0**i, 0)) for i in range(-1070, 1024, 31)]
+    values += [2.0**i for i in range(-1074, 1024, 31)]
+    values += [float(v) for v in 10.0 ** rng.uniform(-300, 300, 300)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    coarse, fine = _digits(F.col("v"))
+    rows = df.select("v", coarse.alias("coarse"), fine.alias("fine")).collect()
+    digits = [(r.coarse, r.fine) for r in sorted(rows, key=lambda r: r.v)]
+    assert digits == sorted(digits)
+    ours = sliced_quantiles(value_histogram(df, F.col("v")), [0.1, 0.5, 0.9], interpolation="nearest")
+    ordered = sorted(values)
+    assert list(ours.first()) == [_nearest(ordered, p) for p in (0.1, 0.5, 0.9)]
+
+
+def test_exact_types_stay_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big,), (big,), (big + 2,)], "v bigint")
+    nearest = quantile_report(df, "v", {"q": 0.5}, interpolation="nearest", extremes=True).first()
+    assert (nearest.min, nearest.q, nearest.max) == (big, big, big + 2)
+    linear = quantile_report(df, "v", {"low": 0.0, "middle": 0.5, "high": 0.75}).first()
+    assert (linear.low, linear.middle, linear.high) == (big, big, big + 1)
+    wide = Decimal("12345678901234567890123456789012345678")
+    df = spark.createDataFrame([(wide,)] * 3, "v decimal(38,0)")
+    for interpolation in ("nearest", "linear"):
+        assert quantile_report(df, "v", {"q": 0.5}, interpolation).first().q == wide
+
+
+def test_sums_cover_rows_without_a_value(spark):
+    rows = [("a", 1.0, 1), ("a", None, 1), ("a", 3.0, None), ("b", None, 0), (None, 2.0, 5)]
+    df = spark.createDataFrame(rows, "k string, v double, s int")
+    hist = value_histogram(df, F.col("v"), ["k"], [F.sum("s").alias("s")])
+    found = sliced_quantiles(hist, [0.5], ["k"], totals=["_rows", "s"]).collect()
+    assert {r.k: (r._q0, r._rows, r.s) for r in found} == {
+        "a": (2.0, 3, 2),
+        "b": (None, 1, 0),
+        None: (2.0, 1, 5),
+    }

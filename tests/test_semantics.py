@@ -202,8 +202,13 @@ def test_flag_of_an_unknown_predicate(spark):
     assert [tuple(r) for r in found] == [(1, 1), (0, 0), (None, 0)]
 
 
-def test_repeated_catalogue_key_is_refused(spark):
-    games = spark.createDataFrame([(1,), (2,), (2,), (None,), (None,)], "appID long")
-    with pytest.raises(ValueError, match=r"appID is not unique: 2 \(2 rows\)"):
-        quality.require_unique(games, "appID")
-    assert quality.require_unique(games.distinct(), "appID").count() == 3
+def test_join_refuses_a_repeated_game(spark):
+    reviews = spark.createDataFrame([(1, "a"), (3, "b")], "appid bigint, game string")
+    games = spark.createDataFrame(
+        [(1, "x"), (1, "x"), (2, "y"), (None, "z"), (None, "z")], "appID bigint, name string"
+    )
+    for use in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("game").collect()):
+        with pytest.raises(Exception, match="appid is not unique: 1"):
+            use(features.join_games(reviews, games))
+    unique = features.join_games(reviews, games.distinct()).orderBy("appid").collect()
+    assert [tuple(r) for r in unique] == [(1, "a", "x"), (3, "b", None)]
