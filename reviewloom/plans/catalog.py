@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from reviewloom.functions.columns import epoch_to_timestamp, flag, month_start
 from reviewloom.operators import buckets, clean, features, network, quality, summaries
 from reviewloom.plans import standins
+from reviewloom.sources.contracts import ANY
+from reviewloom.sources.files import scan_contract
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +118,24 @@ def epoch_timestamps(spark, sf_dir):
     )
 
 
+# A scan whose columns are cast to a contract, whatever types the files hold.
+DOCUMENTS = T.StructType(
+    [
+        T.StructField("doc_id", T.DoubleType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", ANY),
+        T.StructField("n_chars", T.DecimalType(20, 2)),
+    ]
+)
+
+
+@query
+def contract_scan(spark, sf_dir):
+    """Documents read file by file under a contract of other numeric types."""
+    scanned = scan_contract(spark, [f"{sf_dir}/documents.parquet"], DOCUMENTS)
+    return scanned.withColumn("n_chars", F.col("n_chars").cast("double"))
+
+
 # Playtime quartiles
 
 
@@ -223,8 +243,9 @@ def missing_owner_estimates(spark, sf_dir):
 
 @query
 def list_population(spark, sf_dir):
+    # Pending orders have no genres, no order has tags.
     return quality.list_population(
-        standins.part_games(spark, sf_dir), ["tags", "genres", "categories"]
+        standins.order_games(spark, sf_dir), ["tags", "genres", "categories"]
     )
 
 
@@ -507,7 +528,10 @@ def describe_numeric(spark, sf_dir):
 
 @query
 def review_key_profile(spark, sf_dir):
-    return quality.key_profile(_line_reviews(spark, sf_dir), "appid")
+    # The keys of returned items have a letter in front and cannot be read as numbers.
+    lines = standins.table(spark, sf_dir, "lineitem")
+    returned = F.when(F.col("l_returnflag") == "R", "R").otherwise("")
+    return quality.key_profile(lines.select(F.concat(returned, "l_partkey").alias("appid")), "appid")
 
 
 @query

@@ -154,6 +154,8 @@ happened AS (
 )"""
 
 ORACLES = {
+    "contract_scan": """
+SELECT doc_id::DOUBLE AS doc_id, lang, source, n_chars::DOUBLE AS n_chars FROM documents""",
     "clean_reviews": """
 SELECT l_partkey AS appid, 'Part ' || l_partkey AS game,
        l_extendedprice AS author_playtime_forever, l_quantity AS author_playtime_at_review,
@@ -248,9 +250,10 @@ FROM part GROUP BY 1""",
     "missing_owner_estimates": """
 SELECT count(*) AS missing_owner_estimates FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'""",
     "list_population": """
-SELECT count(*) AS total_games, CAST(0 AS BIGINT) AS games_with_tags,
-       count(*) AS games_with_genres, count(*) FILTER (p_size > 25) AS games_with_categories
-FROM part""",
+SELECT count(*) AS total_games, sum(len([]))::BIGINT AS games_with_tags,
+       count(*) FILTER (o_orderstatus <> 'P') AS games_with_genres,
+       count(*) FILTER (len(string_split(o_orderpriority, '-')) > 0) AS games_with_categories
+FROM orders""",
     "explode_genres": f"""{_with(PART_GENRES)}
 SELECT "appID", name, genre FROM genres""",
     "explode_categories": """
@@ -418,8 +421,10 @@ SELECT column_name, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_sa
        max(v) AS max
 FROM stacked GROUP BY column_name""",
     "review_key_profile": """
-SELECT count(DISTINCT l_partkey) AS unique_keys, min(l_partkey) AS min_key,
-       max(l_partkey) AS max_key, CAST(0 AS BIGINT) AS parse_failures
+SELECT count(DISTINCT l_partkey) FILTER (l_returnflag <> 'R') AS unique_keys,
+       CAST(min(l_partkey) FILTER (l_returnflag <> 'R') AS DOUBLE) AS min_key,
+       CAST(max(l_partkey) FILTER (l_returnflag <> 'R') AS DOUBLE) AS max_key,
+       count(*) FILTER (l_returnflag = 'R') AS parse_failures
 FROM lineitem""",
     "game_key_profile": """
 SELECT count(DISTINCT o_orderkey) FILTER (o_orderstatus <> 'P') AS unique_keys,

@@ -51,8 +51,8 @@ def records_read(spark, query, *args) -> int:
 
 
 def test_scans_read_only_needed_columns(spark, sf_dir):
-    df = contract.queries()["playtime_quartile_summary"](spark, sf_dir)
-    needed = {"l_quantity", "l_returnflag", "l_linenumber"}
+    df = contract.queries()["game_monthly_reviews"](spark, sf_dir)
+    needed = {"l_partkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linenumber", "l_linestatus"}
     scans = scanned(plan(df))
     assert scans and all(columns <= needed for columns in scans)
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewloom.operators.clean import clean_reviews
 from reviewloom.operators.quality import list_population
 from reviewloom.sources.contracts import GAMES, REVIEWS, ContractError, check_columns, check_footers
 from reviewloom.sources.files import scan_parquet, write_csv, write_parquet
@@ -85,3 +86,77 @@ def test_csv_has_header_empty_nulls_and_full_precision(spark, tmp_path):
     (file,) = glob.glob(f"{tmp_path}/c/*.csv")
     with open(file) as handle:
         assert handle.read() == "f,g,h\n,0,186.26666666666665\n"
+
+
+def _review_file(path, rows: int, **types) -> None:
+    """Raw reviews with one column in another type; the values are the row's number."""
+    columns = {}
+    for field in REVIEWS:
+        text = isinstance(field.dataType, T.StringType)
+        kind = types.get(field.name, pa.string() if text else pa.float64())
+        values = [str(i) if text else i % 2 for i in range(rows)]
+        if pa.types.is_null(kind):
+            columns[field.name] = pa.nulls(rows)
+        elif pa.types.is_dictionary(kind):
+            columns[field.name] = pa.array(values).dictionary_encode()
+        elif pa.types.is_string(kind):
+            columns[field.name] = pa.array([str(v) for v in values])
+        else:
+            columns[field.name] = pa.array(values, kind)
+    pq.write_table(pa.table(columns), path)
+
+
+@pytest.mark.parametrize("first", ["a", "z"])
+def test_files_of_different_physical_types_are_one_table(spark, tmp_path, first):
+    """Integers next to doubles in both orders of the files, dictionaries, empty columns."""
+    _review_file(tmp_path / "m 1%.parquet", 4)
+    _review_file(
+        tmp_path / f"{first}.parquet",
+        6,
+        appid=pa.int64(),
+        voted_up=pa.int8(),
+        votes_up=pa.decimal128(10, 2),
+        timestamp_created=pa.float32(),
+        language=pa.dictionary(pa.int32(), pa.string()),
+        weighted_vote_score=pa.string(),
+        received_for_free=pa.null(),
+    )
+    _review_file(tmp_path / "n.parquet", 5, appid=pa.int64(), game=pa.null())
+    raw = scan_parquet(spark, f"{tmp_path}/*.parquet", contract=REVIEWS, check_files=True)
+    assert raw.columns == REVIEWS.names
+    assert dict(raw.dtypes)["appid"] == "double" and dict(raw.dtypes)["weighted_vote_score"] == "string"
+    rows = clean_reviews(raw).collect()
+    assert len(rows) == 15
+    assert sorted(r.appid for r in rows) == sorted([i % 2 for n in (4, 6, 5) for i in range(n)])
+    assert sum(r.voted_up for r in rows) == 2 + 3 + 2
+    assert sum(r.received_for_free is None for r in rows) == 6
+    assert sorted(r.language for r in rows) == sorted(str(i) for n in (4, 6, 5) for i in range(n))
+    assert sum(r.game is None for r in rows) == 5
+
+
+def test_one_scan_per_physical_schema(spark, tmp_path):
+    for i in range(6):
+        _review_file(tmp_path / f"{i}.parquet", 2, **({"appid": pa.int64()} if i % 2 else {}))
+    raw = scan_parquet(spark, str(tmp_path), ["appid", "voted_up"], REVIEWS, check_files=True)
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "review" not in plan.split("Location")[0]
+    assert raw.count() == 12
+
+
+def test_a_column_of_another_kind_is_named(spark, tmp_path):
+    _review_file(tmp_path / "good.parquet", 2)
+    _review_file(tmp_path / "bad.parquet", 2, appid=pa.string())
+    with pytest.raises(ContractError, match="bad.parquet: appid should be number, is string"):
+        scan_parquet(spark, str(tmp_path), contract=REVIEWS, check_files=True)
+
+
+def test_files_that_only_spark_can_open(spark, tmp_path, monkeypatch):
+    from reviewloom.sources import contracts
+
+    _review_file(tmp_path / "a.parquet", 2)
+    _review_file(tmp_path / "b.parquet", 3, appid=pa.int64())
+    files = spark.read.parquet(str(tmp_path)).inputFiles()
+    unopened = spark.createDataFrame([(f, None) for f in files], contracts.FOOTERS)
+    monkeypatch.setattr(contracts, "footers", lambda *_: unopened)
+    raw = scan_parquet(spark, str(tmp_path), contract=REVIEWS, check_files=True)
+    assert raw.count() == 5 and dict(raw.dtypes)["appid"] == "double"
