@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import text_bytes, written
+from reviewloom.llm.common import row_slices, text_bytes, written
 
 HEAD = 1 << 17
 HEAD_BYTES = 64  # longer phrases are marks, which bounds the broadcast in bytes
@@ -38,6 +38,7 @@ EDGE = 256
 DENSE_CELLS = 4  # a tile is dense from one pair for so many cells
 GRID = 64  # only the first GRID x GRID tiles can be dense
 SLICE_BYTES = 1 << 21
+ROWS_AT_ONCE = 1 << 16  # of a batch that leaves a task, and of Python objects made at once
 _BITMAP_BITS = 32768  # of one row of Spark's bitmap functions
 
 _BLANK, _BREAK, _WORD = 0, 1, 2
@@ -50,6 +51,15 @@ _LOWER[65:91] += 32
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     """Lower-cased bytes of the texts of one language, cut where pieces end."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    for low, high in row_slices(offsets, 2 * SLICE_BYTES):
+        yield from _by_language(batch.slice(low, high - low))
+        # What Arrow keeps for later would count as this worker's memory.
+        pa.default_memory_pool().release_unused()
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     coded = batch.column("lang").dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
     for number, lang in enumerate(coded.dictionary.to_pylist()):
@@ -112,6 +122,14 @@ def count_cells(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     )
 
 
+def _hashes(phrases: pa.Array, seed: int) -> np.ndarray:
+    digest, out = xxhash.xxh64_intdigest, np.empty(len(phrases), np.uint64)
+    for low in range(0, len(phrases), ROWS_AT_ONCE):
+        part = phrases.slice(low, ROWS_AT_ONCE).to_pylist()
+        out[low : low + len(part)] = [digest(phrase, seed) for phrase in part]
+    return out
+
+
 class Level:
     """The frequent phrases of one length, as tasks know them."""
 
@@ -128,9 +146,7 @@ class Level:
         rest = np.flatnonzero(ids < 0)
         if self.marks is not None and len(rest):
             seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-            digest = xxhash.xxh64_intdigest
-            hashes = (digest(p, seed) for p in phrases.take(pa.array(rest)).to_pylist())
-            at = np.fromiter(hashes, np.uint64, len(rest)) % np.uint64(MARKS)
+            at = _hashes(phrases.take(pa.array(rest)), seed) % np.uint64(MARKS)
             marked = self.marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
             rest = rest[marked.astype(bool)]
             ids[rest] = len(head) + rest
@@ -178,10 +194,12 @@ def _counted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             if not levels:  # the row without phrase counts all words
                 phrases = pa.concat_arrays([phrases, pa.nulls(1, pa.string())])
                 seen = np.append(seen, seen.sum())
-            yield pa.record_batch(
-                [pa.repeat(pa.scalar(lang), len(seen)), phrases, pa.array(seen)],
-                names=["lang", "phrase", "seen"],
-            )
+            for low in range(0, len(seen), ROWS_AT_ONCE):
+                part = pa.array(seen[low : low + ROWS_AT_ONCE])
+                yield pa.record_batch(
+                    [pa.repeat(pa.scalar(lang), len(part)), phrases.slice(low, ROWS_AT_ONCE), part],
+                    names=["lang", "phrase", "seen"],
+                )
 
 
 def _position() -> Column:
