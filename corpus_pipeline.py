@@ -10,8 +10,8 @@ from reviewloom.llm import stages
 from reviewloom.llm.common import table
 from reviewloom.sources.files import shared_folder
 
-# SQL has neither the fingerprints nor the tokenizer; tests/llm holds every stage
-# to brute force.
+# SQL has neither the fingerprints nor the tokenizer. tests/llm holds the operators, and
+# which documents the near-duplicate stage keeps, to plain versions.
 ORACLE_SQL = None
 
 STAGES = [
