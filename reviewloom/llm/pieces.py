@@ -10,7 +10,11 @@ of the best sum of scores but the one that merging by score ends in. It is the o
 path through the lattice of pieces on which each two neighbours, merged by
 themselves, come out as these two again. So the forward entry of a prefix is the last
 piece of its only admissible path; a step is admitted by its left neighbour, and what
-two pieces merge to is remembered. Results equal the library's.
+two pieces merge to is remembered. Results equal the library's. This departs from a
+Viterbi pass in that the entry is no score; what prefixes share is the same.
+
+Along the trie goes the longest suffix that still begins a piece, so that only pieces
+which do end at a character are tried there, the longest first.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CACHED_WORDS = 300_000
 CACHED_PAIRS = 500_000
+CACHED_STEPS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PROBE = "ﬁ²Åé\t x 　  A­\n"
 
@@ -45,15 +50,20 @@ class Pieces:
         self.byte = {
             int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)
         }
-        # The longest piece that ends in these two characters.
-        self.reach: dict[str, int] = {}
-        for piece in self.id:
-            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
+        self.begins = {piece[:n] for piece in self.id for n in range(1, len(piece) + 1)}
         self.literal = model.normalize(_PROBE) == MARK + _PROBE.replace(" ", MARK)
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.bytes_of = {i: p.encode("utf-8") for p, i in self.id.items()}
-        self.bytes_of |= {i: bytes([b]) for b, i in self.byte.items()}
+        # For each piece, whether it may follow a left neighbour.
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        # For a suffix and the next character: the new suffix and the pieces that end in it.
+        self.steps: dict[str, tuple[str, tuple[tuple[int, str], ...]]] = {}
+        self.data = {piece: i.to_bytes(4, "little") for piece, i in self.id.items()}
+        self.bytes_of = [b""] * model.get_piece_size()
+        for piece, i in self.id.items():
+            self.bytes_of[i] = piece.encode("utf-8")
+        for value, i in self.byte.items():
+            self.bytes_of[i] = bytes([value])
 
     def merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, the leftmost of equals, until none merges."""
@@ -70,16 +80,32 @@ class Pieces:
         return parts
 
     def admits(self, left: str, right: str) -> bool:
-        """Whether two neighbours (left may be empty) stay as they are."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.merge(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = known
-        return known
+        """Whether two neighbours (left may be empty) stay as they are; remembered."""
+        if self.pairs >= CACHED_PAIRS:
+            for lefts in self.follows.values():
+                lefts.clear()
+            self.pairs = 0
+        found = self.merge(left + right) == ([left, right] if left else [right])
+        self.follows.setdefault(right, {})[left] = found
+        self.pairs += 1
+        return found
+
+    def step(self, grown: str) -> tuple[str, tuple[tuple[int, str], ...]]:
+        """(longest suffix that begins a piece, (length, piece) of those that end it); remembered."""
+        if len(self.steps) >= CACHED_STEPS:
+            self.steps.clear()
+        at = 0
+        while at < len(grown) and grown[at:] not in self.begins:
+            at += 1
+        tails = [grown[i:] for i in range(at, len(grown) - 1)]
+        ends = [tail for tail in tails if tail in self.id] + [grown[-1]]
+        for tail in ends:
+            self.follows.setdefault(tail, {})
+        self.steps[grown] = found = (grown[at:], tuple((len(tail), tail) for tail in ends))
+        return found
 
     def _ids(self, parts: list[str]) -> bytes:
+        """Ids of parts some of which are no pieces."""
         ids: list[int] = []
         for part in parts:
             known = self.id.get(part)
@@ -93,30 +119,37 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         """Encode sorted distinct words, depth first through their trie."""
-        previous, entries = "", [(0, "")]
-        vocabulary, pairs, reach = self.id, self.pairs, self.reach
+        previous, lasts, suffixes = "", [""], [""]
+        steps, follows, data = self.steps, self.follows, self.data
         for word in words:
             shared, most = 0, min(len(previous), len(word))
             while shared < most and previous[shared] == word[shared]:
                 shared += 1
-            del entries[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                longest = reach.get(word[end - 2 : end], 1) if end > 1 else 1
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece in vocabulary or end - start == 1:
-                        left = entries[start][1]
-                        admitted = pairs.get((left, piece))
-                        if admitted is None:
-                            admitted = self.admits(left, piece)
-                        if admitted:
-                            entries.append((start, piece))
-                            break
-            parts, end = [], len(word)
+            del lasts[shared + 1 :], suffixes[shared + 1 :]
+            suffix, end = suffixes[shared], shared
+            for letter in word[shared:]:
+                end += 1
+                grown = suffix + letter
+                known = steps.get(grown)
+                suffix, ending = self.step(grown) if known is None else known
+                for length, piece in ending:
+                    left = lasts[end - length]
+                    admitted = follows[piece].get(left)
+                    if admitted is None:
+                        admitted = self.admits(left, piece)
+                    if admitted:
+                        break
+                lasts.append(piece)
+                suffixes.append(suffix)
+            parts = []
             while end:
-                end, piece = entries[end]
-                parts.append(piece)
-            self.words[word] = self._ids(parts[::-1])
+                parts.append(lasts[end])
+                end -= len(lasts[end])
+            parts.reverse()
+            try:
+                self.words[word] = b"".join([data[part] for part in parts])
+            except KeyError:
+                self.words[word] = self._ids(parts)
             previous = word
 
     def marked_words(self, text: str) -> list[str]:
@@ -139,8 +172,8 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks become blanks, the first one goes."""
-        empty = b""
-        data = b"".join([self.bytes_of.get(i, empty) for i in ids.tolist()])
+        known = ids[(ids >= 0) & (ids < len(self.bytes_of))]
+        data = b"".join(map(self.bytes_of.__getitem__, known.tolist()))
         text = data.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -176,9 +209,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 
 def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
-    for row in range(len(column)):
-        value = column[row].values
-        yield np.empty(0, np.int32) if value is None else value.to_numpy()
+    """The ids of each row, as views of the column's buffer; null is none."""
+    column = column.fill_null([])
+    ends, ids = column.offsets.to_numpy(), column.values.to_numpy()
+    for low, high in zip(ends[:-1], ends[1:]):
+        yield ids[low:high]
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
