@@ -1,16 +1,19 @@
 """URL filter by a path-template tree with labelled purity.
 
-Every host has a tree of path templates, one level per segment. Segments with a
-digit, and the children of a node with many children of few pages each, are
-generalised to a wildcard. Sibling branches whose labelled pages are as often bad
-as their parent's, within ``Z`` standard errors, merge into one branch; those
-significantly worse or better merge likewise. A branch is judged by the share of
-bad pages among its labelled ones, smoothed towards its host, and the host towards
-all pages; it is blocked from ``REJECT`` on. Rules come first: the longest one that
-fits decides.
-
-All of it is grouping and joining in Spark. Templates are counted once per distinct
-path pattern before the tree is built, so a large host is small by then.
+Every host has a tree of path templates, one level per segment, as deep as its paths.
+Segments with a digit, and the children of a node with many children of few pages
+each, are generalised to a wildcard. Then branches merge level by level up the tree:
+a node whose labelled pages are as often bad as its parent's, within ``Z`` standard
+errors, becomes part of its parent; the children of one node that are significantly
+worse, or better, become one branch. A branch is judged by the share of bad pages among the
+labelled ones left in it, smoothed towards its host, and the host towards all pages;
+it is blocked from ``REJECT`` on. Rules come first: the longest one that fits decides.
+
+All of it is grouping and joining in Spark. Paths are counted once per distinct pattern
+before the tree is built, so a large host is small by then. Each round walks from one
+fork of the tree to the next: what all patterns below a node begin with is passed in
+one step, and patterns fewer than could fill a wildcard are done. So rounds follow the
+nesting of forks, not the length of the paths.
 """
 
 from __future__ import annotations
@@ -18,9 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
+from reviewloom.llm.common import checkpointed, small_side
 
-LEVELS = 4  # segments that have a level of their own; deeper ones are one wildcard
 MANY = 8  # children from which a node may be generalised ...
 FEW = 3.0  # ... if they have fewer pages each
 Z = 1.96
@@ -63,47 +65,57 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def path_shape(path: Column) -> Column:
-    """The first ``LEVELS`` segments, those with a digit as wildcards; deeper ones as one."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shape = F.transform(
-        F.slice(parts, 1, LEVELS),
+    """All segments, those with a digit as wildcards."""
+    return F.transform(
+        F.filter(F.split(path, "/"), lambda s: s != ""),
         # What follows the last dot names a kind of page and stays.
         lambda s: F.when(
             s.rlike("[0-9]"), F.concat(F.lit(WILD), F.regexp_extract(s, r"\.[A-Za-z]+$", 0))
         ).otherwise(s),
     )
-    return F.when(F.size(parts) > LEVELS, F.concat(shape, F.array(F.lit("**")))).otherwise(shape)
 
 
 def _generalised(shapes: DataFrame) -> DataFrame:
-    """(host, shape, template): wildcards for levels of many rare children."""
-    tree = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(LEVELS):
-        child = F.get(F.col("shape"), F.lit(level))
-        tree = tree.withColumn("child", child)
-        nodes = (
-            tree.filter("child is not null")
-            .groupBy("host", "template", "child")
+    """Add ``template`` to rows of distinct (host, shape): wildcards for many rare children."""
+    active = shapes.withColumns({"template": F.array().cast("array<string>"), "rest": F.col("shape")})
+    done = None
+    while True:
+        active = checkpointed(active)
+        # The first place where the least and the greatest of a node's patterns differ.
+        differ = F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), False)
+        shared = (
+            active.groupBy("host", "template")
+            .agg(F.min("rest").alias("least"), F.max("rest").alias("most"), F.count("*").alias("shapes"))
+            .select(
+                "host",
+                "template",
+                F.when((F.col("shapes") >= MANY) & (differ > 0), (differ - 1).cast("int")).alias("shared"),
+            )
+        )
+        step = F.coalesce("shared", F.size("rest"))
+        moved = checkpointed(
+            active.join(shared, ["host", "template"]).select(
+                *shapes.columns,
+                F.concat("template", F.slice("rest", 1, step)).alias("template"),
+                F.slice("rest", step + 1, F.size("rest")).alias("rest"),
+            )
+        )
+        ended = moved.filter(F.size("rest") == 0).drop("rest")
+        done = ended if done is None else done.union(ended)
+        going = moved.filter(F.size("rest") > 0).withColumn("child", F.get("rest", F.lit(0)))
+        if going.isEmpty():
+            return done
+        variable = (
+            going.groupBy("host", "template", "child")
             .agg(F.sum("pages").alias("pages"))
             .groupBy("host", "template")
-            .agg(F.count("*").alias("children"), F.sum("pages").alias("pages"))
-            .filter((F.col("children") >= MANY) & (F.col("pages") < FEW * F.col("children")))
-            .select("host", "template", F.lit(True).alias("variable"))
+            .agg(((F.count("*") >= MANY) & (F.sum("pages") < FEW * F.count("*"))).alias("variable"))
         )
-        step = F.when(F.col("variable") & F.col("child").isNotNull(), F.lit(WILD)).otherwise(F.col("child"))
-        tree = (
-            tree.join(nodes, ["host", "template"], "left")
-            .withColumn(
-                "template",
-                F.when(F.col("child").isNull(), F.col("template")).otherwise(
-                    F.array_append("template", step)
-                ),
-            )
-            .drop("variable", "child")
+        active = going.join(variable, ["host", "template"]).select(
+            *shapes.columns,
+            F.array_append("template", F.when(F.col("variable"), WILD).otherwise(F.col("child"))).alias("template"),
+            F.slice("rest", 2, F.size("rest")).alias("rest"),
         )
-        tree = checkpointed(tree)
-    deeper = F.slice("shape", LEVELS + 1, 1)
-    return tree.withColumn("template", F.concat("template", deeper))
 
 
 def _share(bad: Column, labelled: Column, prior: Column) -> Column:
@@ -113,8 +125,12 @@ def _share(bad: Column, labelled: Column, prior: Column) -> Column:
 def _judged(tree: DataFrame) -> DataFrame:
     """Add ``bad_share`` to (host, shape, template, labelled, bad) rows."""
     sums = (F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    parent = F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))
-    leaves = tree.groupBy("host", "template").agg(*sums).withColumn("parent", parent)
+    # A name for each node on the way to a template, the root's first.
+    nodes = F.transform(
+        F.sequence(F.lit(0), F.size("template")),
+        lambda n: F.md5(F.array_join(F.slice("template", 1, n), "/")),
+    )
+    leaves = checkpointed(tree.groupBy("host", "template").agg(*sums).withColumn("nodes", nodes))
     overall = leaves.agg(
         F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("all_share")
     )
@@ -123,28 +139,52 @@ def _judged(tree: DataFrame) -> DataFrame:
     hosts = leaves.groupBy("host").agg(*sums).select(
         "host", _share(F.col("bad"), F.col("labelled"), all_share).alias("host_share")
     )
-    parents = leaves.groupBy("host", "parent").agg(
-        F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad")
+    totals = checkpointed(
+        leaves.filter("labelled > 0")
+        .select("host", "labelled", "bad", "nodes", F.posexplode("nodes").alias("depth", "node"))
+        .groupBy("host", "node", F.get("nodes", F.col("depth") - 1).alias("parent"))
+        .agg(*sums)
+    )
+    parents = totals.select(
+        "host",
+        F.col("node").alias("parent"),
+        F.col("labelled").alias("p_labelled"),
+        F.col("bad").alias("p_bad"),
     )
     rate = _share(F.col("p_bad"), F.col("p_labelled"), F.col("host_share"))
-    error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
-    distance = F.when(
-        F.col("labelled") > 0, (F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rate) / error
-    ).otherwise(0.0)
-    distance = F.coalesce(F.when(error > 0, distance), F.lit(0.0))
-    sided = (
-        leaves.join(parents, ["host", "parent"])
+    error = F.sqrt(rate * (1 - rate) / F.col("labelled"))
+    distance = F.coalesce(F.try_divide(F.col("bad") / F.col("labelled") - rate, error), F.lit(0.0))
+    # Nodes that stay apart from their parent.
+    apart = small_side(
+        totals.join(parents, ["host", "parent"])
         .join(hosts, "host")
-        .withColumn("branch", F.when(distance > Z, 1).when(distance < -Z, -1).otherwise(0))
+        .withColumn("side", F.when(distance > Z, 1).when(distance < -Z, -1).otherwise(0))
+        .filter("side <> 0")
+        .select("host", "node", F.struct("parent", "side").alias("branch"))
     )
-    merged = sided.groupBy("host", "parent", "branch").agg(
-        F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad")
+    deepest = (
+        leaves.select("host", "template", F.posexplode("nodes").alias("depth", "node"))
+        .join(apart, ["host", "node"])
+        .groupBy("host", "template")
+        .agg(F.max_by("branch", "depth").alias("branch"))
     )
-    shares = sided.join(merged, ["host", "parent", "branch"]).select(
-        "host",
-        "template",
-        _share(F.col("m_bad"), F.col("m_labelled"), F.col("host_share")).alias("bad_share"),
+    root = F.struct(F.lit("").alias("parent"), F.lit(0).alias("side"))
+    placed = checkpointed(
+        leaves.drop("nodes")
+        .join(deepest, ["host", "template"], "left")
+        .withColumn("branch", F.coalesce("branch", root))
+    )
+    merged = (
+        placed.groupBy("host", "branch")
+        .agg(*sums)
+        .join(hosts, "host")
+        .select(
+            "host",
+            "branch",
+            _share(F.col("bad"), F.col("labelled"), F.col("host_share")).alias("bad_share"),
+        )
     )
+    shares = placed.join(merged, ["host", "branch"]).select("host", "template", "bad_share")
     return tree.select("host", "shape", "template").join(shares, ["host", "template"])
 
 
@@ -163,8 +203,9 @@ def judge_urls(
     not bad, and a page with several labels is bad if one of them says so. A null
     url and one without ``://`` have empty host and path and are judged like any
     page of that host. Without any label nothing is blocked but by rules. Repeated
-    rows count and are returned like others. Rows without id have no label. An
-    empty table gives an empty result.
+    rows count and are returned like others. Rows without id have no label. Paths of any
+    depth and length are judged whole; templates that tie share a verdict only if they
+    are in one branch. An empty table gives an empty result.
     """
     host, path = url_parts(F.col(url_col))
     marked = (

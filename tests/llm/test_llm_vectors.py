@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -168,6 +171,82 @@ def test_bad_branch_is_blocked_and_slugs_are_generalised(judged):
     assert verdicts == {("/bad/*", "block"), ("/good/*.html", "allow"), ("/user/*/page", "allow")}
 
 
+def plain_tree(pages, bad_of):
+    """{page id: (template, share)} by trees of dictionaries; ``bad_of`` maps ids to 0 or 1."""
+    parsed = [(i, *plain_parts(url)) for i, url in pages]
+    shapes = {}
+    for i, host, path in parsed:
+        parts = [p for p in path.split("/") if p]
+        tail = lambda p: re.search(r"\.[A-Za-z]+$|$", p).group()
+        shape = tuple("*" + tail(p) if re.search("[0-9]", p) else p for p in parts)
+        shapes.setdefault(host, {}).setdefault(shape, []).append(i)
+    templates = {host: {} for host in shapes}
+
+    def walk(host, prefix, group):  # group: (rest of a shape, its pages)
+        children = {}
+        for rest, ids in group:
+            if rest:
+                children.setdefault(rest[0], []).append((rest[1:], ids))
+            else:
+                templates[host].setdefault(prefix, []).extend(ids)
+        count = sum(len(ids) for child in children.values() for _, ids in child)
+        if len(children) >= 8 and count < 3 * len(children):
+            children = {"*": [x for child in children.values() for x in child]}
+        for name, child in children.items():
+            walk(host, (*prefix, name), child)
+
+    for host, group in shapes.items():
+        walk(host, (), list(group.items()))
+    share = lambda bad, n, prior: (bad + 10 * prior) / (n + 10)
+    known = [bad_of[i] for i, _ in pages if i in bad_of]
+    overall, out = sum(known) / len(known) if known else 0.0, {}
+    for host, leaves in templates.items():
+        marks = {t: [bad_of[i] for i in ids if i in bad_of] for t, ids in leaves.items()}
+        total = {}
+        for t, m in marks.items():
+            for n in range(len(t) + 1):
+                total.setdefault(t[:n], []).extend(m)
+        prior = share(sum(total[()]), len(total[()]), overall)
+        branch, left = {}, {}
+        for t in leaves:
+            branch[t] = None
+            for n in range(1, len(t) + 1):
+                mine, above = total[t[:n]], total[t[: n - 1]]
+                rate = share(sum(above), len(above), prior)
+                if mine and 0 < rate < 1:
+                    far = (sum(mine) / len(mine) - rate) / (rate * (1 - rate) / len(mine)) ** 0.5
+                    if abs(far) > 1.96:
+                        branch[t] = (t[: n - 1], far > 0)
+            left.setdefault(branch[t], []).extend(marks[t])
+        for t, ids in leaves.items():
+            m = left[branch[t]]
+            out |= {i: ("/" + "/".join(t), share(sum(m), len(m), prior)) for i in ids}
+    return out
+
+
+def test_templates_and_shares_equal_a_plain_tree(spark):
+    rng = random.Random(3)
+    urls = [f"http://deep.net/a/b/c/d/{'spam' if i % 2 else 'news'}/p{i}/x{i % 3}" for i in range(400)]
+    urls += [f"http://deep.net/{'k/' * 60}{chr(97 + i % 26) * (1 + i // 26)}/end" for i in range(60)]
+    for i in range(900):
+        depth = rng.randrange(8)
+        urls.append(f"http://h{i % 3}.org/" + "/".join(rng.choice("abc") + rng.choice(["", "", "z", "9.html"]) for _ in range(depth)))
+    urls += [None, "http://h0.org", "http://long.net/" + "s" * 200_000 + "/" + "t/" * 300]
+    bad = {i: int("spam" in (u or "") or rng.random() < (0.7 if "/a/b" in (u or "") and "deep" not in u else 0.1))
+           for i, u in enumerate(urls) if rng.random() < 0.6}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    found = judge_urls(pages, labels).collect()
+    expected = plain_tree(list(enumerate(urls)), bad)
+    assert len(found) == len(urls)
+    for r in found:
+        template, share = expected[r.page_id]
+        assert (r.template, round(r.bad_share, 9)) == (template, round(share, 9)), urls[r.page_id]
+        assert r.rule or (r.verdict == "block") == (share >= 0.5)
+    deep = {(r.template, r.verdict) for r in found if r.page_id < 400}
+    assert deep == {("/a/b/c/d/news/*/*", "allow"), ("/a/b/c/d/spam/*/*", "block")}
+
+
 def test_urls_without_pages_or_labels(judged):
     _, found, pages, labels = judged
     assert judge_urls(pages.limit(0), labels).collect() == []
