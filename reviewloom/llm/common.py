@@ -32,6 +32,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores before those that are taken."""
+    taken = {name.lower() for name in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """A checkpointed frame, with a broadcast hint only if it was counted to be small."""
     df = checkpointed(df)

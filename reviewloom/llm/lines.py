@@ -5,8 +5,8 @@ of the w + 1 lines from a position is made of the names of the w lines there and
 of the w lines from the next line on, which overlap; positions of equal name are an
 interval of suffixes whose longest common prefix is at least that many lines. Only
 positions whose name repeats go on, since a longer run can only repeat where its
-parts do. Names are hashes rather than sorted ranks: the intervals are needed, not
-their order.
+parts do. Names are hashes of 128 bits rather than sorted ranks: the intervals are
+needed, not their order.
 
 A run of any length with at least ``MIN_WORDS`` words together goes where it is a
 later copy: it starts earlier, in a document of smaller id or before in the same
@@ -25,12 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
+from reviewloom.llm.common import checkpointed, free_names
 
 MIN_WORDS = 5
 BLANKS = " \t\r\x0b\x0c"
 
 
+def _name(value: Column) -> Column:
+    """A name of 128 bits: texts are cut where names are equal, without a look at the lines."""
+    return F.unhex(F.md5(value))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     """The id, and a hash that tells texts of one id apart."""
     return F.col(id_col).cast("long").alias("_doc"), F.xxhash64(
@@ -54,7 +59,7 @@ def later_runs(
             F.col("_doc").alias("doc"),
             F.col("_mark").alias("mark"),
             "at",
-            F.xxhash64("line").alias("name"),
+            _name(F.col("line")).alias("name"),
             words.alias("words"),
         )
         .withColumn("last", F.col("words"))
@@ -95,7 +100,7 @@ def later_runs(
                 "doc",
                 "mark",
                 "at",
-                F.xxhash64("name", "then").alias("name"),
+                _name(F.concat("name", "then")).alias("name"),
                 F.least(F.lit(min_words), F.col("words") + F.col("end")).alias("words"),
                 F.col("end").alias("last"),
             )
@@ -149,9 +154,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matched(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns(
-        {name: column for name, column in zip(("_doc", "_mark"), _keyed(docs, id_col, text_col))}
-    ).join(runs, ["_doc", "_mark"], "left")
+    """``docs`` with the columns of ``runs``, under names that ``docs`` does not have."""
+    names = free_names(docs.columns, *runs.columns)
+    keys = dict(zip(names, _keyed(docs, id_col, text_col)))
+    return docs.withColumns(keys).join(runs.toDF(*names), names[:2], "left")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,15 +181,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies of line runs cut from the text; other columns as they are."""
+    """``docs`` with later copies of line runs cut from the text; other columns as they are.
+
+    Every row stays, with its line feeds between the lines that are kept. A null text
+    stays null, and a row without id keeps its text. Of equal rows none counts as a
+    copy of another; texts under one id are ordered by line alone, ties between them
+    keeping both. Texts of any length are cut whole. An empty table stays empty.
+    Columns may have any name.
+    """
     names = docs.columns
     place = names.index(text_col)
+    found = free_names(names, "_doc", "_mark", "_runs")[2]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 t.as_py() if t.as_py() is None or r.as_py() is None else cut_lines(t.as_py(), _runs(r))[0]
-                for t, r in zip(batch.column(text_col), batch.column("_runs"))
+                for t, r in zip(batch.column(text_col), batch.column(found))
             ]
             columns = [batch.column(c) for c in names]
             columns[place] = pa.array(texts, pa.string())
@@ -191,5 +205,5 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     runs = later_runs(docs, id_col, text_col)
     return (
-        _matched(docs, runs, id_col, text_col).select(*names, "_runs").mapInArrow(cut, docs.schema)
+        _matched(docs, runs, id_col, text_col).select(*names, found).mapInArrow(cut, docs.schema)
     )

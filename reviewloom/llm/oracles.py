@@ -38,7 +38,7 @@ select doc_id,
 from texts left join removed using (doc_id)
 """
 
-# A run of eight lines has enough words, so longer runs are unions of these.
+# Each line has a word, so longer runs are unions of those of five lines.
 LINE_DEDUP = """
 with texts as (
     select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents
@@ -61,7 +61,7 @@ with texts as (
     window ahead as (
         partition by doc_id order by spot rows between current row and {width - 1} following
     )"""
-    for width in (1, 2, 4, 8)
+    for width in range(1, 6)
 ) + """
 ), copies as (
     select doc_id, spot, width
