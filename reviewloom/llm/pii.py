@@ -5,7 +5,8 @@ seeds: the words around them are lexical patterns (the two words before, and the
 word on either side). Number runs and address-like tokens that no base span
 touches are the other instances. Spark scores the graph of patterns and instances
 in rounds: a pattern is worth the mean score of the distinct instances it
-extracts, smoothed; an instance is worth what its patterns give it together.
+extracts, smoothed; an instance is worth what its patterns give it together, and what is
+accepted supports further patterns, also such as no seed stands in.
 Instances that end above ``ACCEPT`` are identifiers that no base pattern knows,
 and all their occurrences become spans of the kind.
 
@@ -23,7 +24,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import checkpointed
+from reviewloom.llm.common import checkpointed, free_names
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, as linear forms of the documented ones.
@@ -214,45 +215,46 @@ def _fits(kind: Column, value: Column) -> Column:
 def learned_instances(rows: DataFrame) -> DataFrame:
     """(value, kind) of instances without a kind that the patterns of seeds vouch for.
 
-    ``rows`` are occurrences (kind, value, before, after). Patterns without a seed
-    can teach nothing and leave the graph before the rounds.
+    ``rows`` are occurrences (kind, value, before, after). A pattern is trusted with a
+    kind from ``SUPPORT`` distinct instances on, which are seeds or were accepted in the
+    round before, so what seeds teach spreads by one pattern a round. Patterns that
+    extract fewer instances leave the graph.
     """
     edges = _graph(rows)
-    seeded = edges.filter("kind is not null").select("pattern").distinct()
-    edges = checkpointed(edges.join(seeded, "pattern", "left_semi"))
     # What each pattern extracts, known kind or not.
-    size = edges.groupBy("pattern").agg(F.count("*").alias("extracted"))
-    support = (
-        edges.filter("kind is not null")
-        .groupBy("pattern", "kind")
-        .agg(F.count("*").cast("double").alias("seeds"))
-        .filter(F.col("seeds") >= SUPPORT)
+    size = (
+        edges.groupBy("pattern").agg(F.count("*").alias("extracted")).filter(F.col("extracted") >= SUPPORT)
     )
-    support = checkpointed(support.join(size, "pattern"))
-    unknown = (
-        edges.filter("kind is null")
-        .select("pattern", "instance")
-        .join(support.select("pattern", "kind"), "pattern")
-        .filter(_fits(F.col("kind"), F.col("instance")))
+    edges = checkpointed(edges.join(size, "pattern"))
+    seeds = checkpointed(
+        edges.filter("kind is not null")
+        .groupBy("pattern", "kind", "extracted")
+        .agg(F.count("*").cast("double").alias("gained"), F.count("*").alias("known"))
     )
-    unknown = checkpointed(unknown)
+    unknown = edges.filter("kind is null").drop("kind")
     scores = None
     for _ in range(ROUNDS):
-        learned = support.withColumn("gained", F.lit(0.0))
+        learned = seeds
         if scores is not None:
             gained = (
-                unknown.join(scores, ["instance", "kind"])
-                .groupBy("pattern", "kind")
-                .agg(F.sum("score").alias("gained"))
+                unknown.join(scores, "instance")
+                .groupBy("pattern", "kind", "extracted")
+                .agg(
+                    F.sum("score").alias("gained"),
+                    F.count(F.when(F.col("score") >= ACCEPT, 1)).alias("known"),
+                )
+            )
+            learned = (
+                seeds.union(gained)
+                .groupBy("pattern", "kind", "extracted")
+                .agg(F.sum("gained").alias("gained"), F.sum("known").alias("known"))
             )
-            learned = support.join(gained, ["pattern", "kind"], "left").fillna(0.0, ["gained"])
-        trust = learned.select(
-            "pattern",
-            "kind",
-            ((F.col("seeds") + F.col("gained")) / (F.col("extracted") + SMOOTHING)).alias("trust"),
+        trust = learned.filter(F.col("known") >= SUPPORT).select(
+            "pattern", "kind", (F.col("gained") / (F.col("extracted") + SMOOTHING)).alias("trust")
         ).filter(F.col("trust") >= TRUST)
         scores = checkpointed(
-            unknown.join(trust, ["pattern", "kind"])
+            unknown.join(trust, "pattern")
+            .filter(_fits(F.col("kind"), F.col("instance")))
             .groupBy("instance", "kind")
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         )
@@ -325,16 +327,23 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; overlaps become one."""
+    """``docs`` with every span replaced by its kind in angle brackets; overlaps become one.
+
+    Every row stays. A null text stays null, a text without spans as it is; texts of any
+    length are masked whole. Rows without id are masked like others, repeated rows alike.
+    Of spans that start together the longest names the mask, then the first kind by
+    name. An empty table stays empty. Columns may have any name.
+    """
+    own_id, own_hash, own = free_names(docs.columns, "_id", "_hash", "_spans")
     spans = (
         personal_spans(docs, id_col, text_col)
         .filter(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-        .dropDuplicates(["_id", "_hash"])
+        .select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("spans").alias(own))
+        .dropDuplicates([own_id, own_hash])
     )
     text = F.col(text_col)
     by_start = F.array_sort(
-        F.transform("_spans", lambda s: F.struct(s["start"], (-s["end"]).alias("end"), s["kind"]))
+        F.transform(own, lambda s: F.struct(s["start"], (-s["end"]).alias("end"), s["kind"]))
     )
     # Each span covers from where the previous ones ended; the piece before it is kept.
     # A block of spans works on its own section of the text.
@@ -377,12 +386,12 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     # A lambda over one value keeps the sorting from being repeated.
     hidden = F.get(F.transform(F.array(by_start), covered), F.lit(0))
-    key = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (
-        F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")
+    key = (F.col(id_col).cast("long").eqNullSafe(F.col(own_id))) & (
+        F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own_hash)
     )
     return docs.join(spans, key, "left").select(
         *(
-            F.when(F.col("_spans").isNotNull(), hidden).otherwise(text).alias(c) if c == text_col else F.col(c)
+            F.when(F.col(own).isNotNull(), hidden).otherwise(text).alias(c) if c == text_col else F.col(c)
             for c in docs.columns
         )
     )

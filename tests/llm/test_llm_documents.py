@@ -166,6 +166,26 @@ def test_contexts_find_unseen_identifiers_and_leave_others(spark):
     assert hidden[14] == clean[0]
 
 
+def test_what_is_learned_teaches_further_patterns(spark):
+    both = [f"555-77{i}0-{i}9" for i in range(10)]
+    texts = [f"w call phone: +1 ({200 + i}) 555-{1000 + i} now" for i in range(30)]
+    texts += [f"w call phone: {n} now" for n in both] + [f"please reach fax: {n} ok" for n in both]
+    texts += ["please reach fax: 555-9999-31 ok", "please reach fax: 12345 ok", "order part no: 555-9999-32 ok"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in span_digest(rows).collect()}
+    assert all(spans[i].startswith("phone:") for i in range(51))
+    assert spans[50] == "phone:18:29" and spans[51] == spans[52] == ""
+
+
+def test_columns_of_any_name(docs, texts):
+    clashing = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(["_id", "_hash", "_spans", "_doc", "_mark", "_runs", "doc", "at"])))
+    for stage in (masked, without_repeated_lines):
+        assert stage(clashing).columns == clashing.columns
+        found = Counter((r.doc_id, r.text, r._spans, r._runs) for r in stage(clashing).collect())
+        assert found == Counter((r.doc_id, r.text, 2, 5) for r in stage(docs).collect())
+        assert stage(clashing.limit(0)).collect() == []
+
+
 def test_many_overlapping_spans_are_masked(spark):
     draw = random.Random(3)
     parts = ["+4111 1111 1111 1111", "u{}@h.example", "10.0.{}.1", "+1 (743) 555-{}", "word", "4111111111111111@x.y"]
@@ -350,25 +370,22 @@ def test_long_text_in_pieces(spark):
 # Lines
 
 
-def plain_lines(rows, min_words=5):
+def all_runs(rows, min_words=5):
+    """Per text, the lines removed by later copies of runs of every length."""
     docs = {i: [s.strip(BLANKS) for s in t.split("\n") if s.strip(BLANKS)] for i, t in rows}
-    gone, width, repeated = {i: set() for i in docs}, 1, True
-    while repeated:
-        seen, repeated = set(), False
-        for i in sorted(docs):
-            for at in range(len(docs[i]) - width + 1):
-                run = tuple(docs[i][at : at + width])
-                if run in seen:
-                    repeated = True
-                    if sum(len(s.split()) for s in run) >= min_words:
-                        gone[i].update(range(at, at + width))
+    gone, seen = {i: set() for i in docs}, set()
+    for i in sorted(docs):
+        for at in range(len(docs[i])):
+            for end in range(at + 1, len(docs[i]) + 1):
+                run = tuple(docs[i][at:end])
+                if run in seen and sum(len(s.split()) for s in run) >= min_words:
+                    gone[i].update(range(at, end))
                 seen.add(run)
-        width *= 2
     return {i: len(g) for i, g in gone.items()}
 
 
 def test_repeated_lines_equal_brute_force(docs, texts):
-    expected = plain_lines([(i, t) for i, t in texts if i is not None and t is not None])
+    expected = all_runs([(i, t) for i, t in texts if i is not None and t is not None])
     assert expected[15] == 5 and expected[8] == 39 and expected[9] > 0
     for r in repeated_lines(docs).collect():
         assert r.n_removed == expected.get(r.doc_id, 0), r.doc_id
@@ -385,20 +402,6 @@ def test_runs_of_short_lines(spark):
     assert cut_lines("a\n\nb\nc", [(1, 1)]) == ("a\n\nc", 1, [(1, 1)])
 
 
-def all_runs(rows, min_words=5):
-    """Per text, the lines removed by later copies of runs of every length."""
-    docs = {i: [s.strip(BLANKS) for s in t.split("\n") if s.strip(BLANKS)] for i, t in rows}
-    gone, seen = {i: set() for i in docs}, set()
-    for i in sorted(docs):
-        for at in range(len(docs[i])):
-            for end in range(at + 1, len(docs[i]) + 1):
-                run = tuple(docs[i][at:end])
-                if run in seen and sum(len(s.split()) for s in run) >= min_words:
-                    gone[i].update(range(at, end))
-                seen.add(run)
-    return {i: len(g) for i, g in gone.items()}
-
-
 def test_runs_of_every_length(spark):
     words = ["a b", "c d", "e f"]
     menu = ["home", "news", "shop", "help", "about", "login", "cart"]
