@@ -1,19 +1,21 @@
-"""Removal of repeated runs of lines by growing names over line ids.
-
-The corpus is the sequence of its lines' ids, one sequence per document. The name
-of the w + 1 lines from a position is made of the names of the w lines there and
-of the w lines from the next line on, which overlap; positions of equal name are an
-interval of suffixes whose longest common prefix is at least that many lines. Only
-positions whose name repeats go on, since a longer run can only repeat where its
-parts do. Names are hashes of 128 bits rather than sorted ranks: the intervals are
-needed, not their order.
-
-A run of any length with at least ``MIN_WORDS`` words together goes where it is a
-later copy: it starts earlier, in a document of smaller id or before in the same
-one. Every width up to ``MIN_WORDS`` lines is tested; as each line has a word, longer
-runs are unions of their windows of that width. A window made of two that have
-enough words is the union of these and does not go on. Blank lines are no part of
-the sequence.
+"""Removal of repeated runs of lines by prefix doubling over line-id sequences.
+
+The corpus is the sequence of its lines' ids, one sequence per document; its suffixes
+are the positions of lines. A suffix's rank at a width is its place in the order of all
+runs of that many lines. The rank at the doubled width comes from the pair of its own
+rank and of the rank one width further on: the distinct pairs are sorted over the
+cluster by range, and their places in that order are the new ranks. Suffixes of equal
+rank are an interval of the suffix array whose longest common prefix is at least that
+many lines. Widths between two doublings need no rank of their own: two runs of the
+last width that overlap name them.
+
+Only suffixes whose rank repeats go on, since a longer common prefix starts with a
+shorter one. In every interval the first suffix, by document and line, keeps its run;
+the runs of the others are later copies and go if they have ``MIN_WORDS`` words
+together. Widths up to ``MIN_WORDS`` lines are enough: as each line has a word, a longer
+maximal run is the union of its runs of that width. A run made of two that both have
+enough words is the union of these and does not go on. Blank lines are no part of the
+sequence. Line ids are hashes of 128 bits; ranks are exact.
 """
 
 from __future__ import annotations
@@ -43,6 +45,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]
     ).alias("_mark")
 
 
+def _intervals(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose ``keys`` repeat, with the keys' rank and whether an earlier row has them.
+
+    Ranks follow the order of the keys and have gaps.
+    """
+    rows = checkpointed(rows)
+    # Cut off, so that Spark may split the join's partition of a common run.
+    first = checkpointed(
+        rows.groupBy(*keys)
+        .agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+        .filter("n > 1")
+        .orderBy(*keys)
+        .select(*keys, "first", F.monotonically_increasing_id().alias("rank"))
+    )
+    later = F.struct("doc", "at") > F.col("first")
+    return checkpointed(
+        rows.join(first, [*keys]).select(
+            "doc", "mark", "at", "words", "rank", later.alias("later")
+        )
+    )
+
+
 def later_runs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -52,7 +76,8 @@ def later_runs(
     )
     enough = F.col("line").rlike(rf"(?:\S++\s++){{{min_words - 1}}}\S")
     words = F.when(enough, min_words).otherwise(F.size(F.split("line", r"\s+")))
-    now = (
+    # ``words``: of the first 1, 2, ... lines of the run, at most ``min_words``.
+    ranked = _intervals(
         docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(*_keyed(docs, id_col, text_col), F.posexplode(lines).alias("at", "line"))
         .select(
@@ -60,52 +85,47 @@ def later_runs(
             F.col("_mark").alias("mark"),
             "at",
             _name(F.col("line")).alias("name"),
-            words.alias("words"),
-        )
-        .withColumn("last", F.col("words"))
+            F.array(words).alias("words"),
+        ),
+        "name",
     )
-    width, found = 1, None
-    while True:
-        now = checkpointed(now)
-        # Cut off, so that Spark may split the join's partition of a common line.
-        first = checkpointed(
-            now.groupBy("name")
-            .agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-            .filter("n > 1")
-            .drop("n")
-        )
-        repeated = checkpointed(
-            now.join(first, "name").withColumn("later", F.struct("doc", "at") > F.col("first")).drop("first")
-        )
-        runs = repeated.filter(F.col("later") & (F.col("words") >= min_words)).select(
-            "doc", "mark", F.struct("at", F.lit(width).alias("lines")).alias("run")
+
+    def runs(size: int) -> DataFrame:
+        return ranked.filter(F.col("later") & (F.element_at("words", -1) >= min_words)).select(
+            "doc", "mark", F.struct("at", F.lit(size).alias("lines")).alias("run")
         )
-        found = runs if found is None else found.union(runs)
-        if repeated.filter(F.col("words") < min_words).isEmpty():
-            break
-        after = repeated.select(
+
+    width, found = 1, runs(1)
+    while width < min_words and not ranked.filter(F.element_at("words", -1) < min_words).isEmpty():
+        before = ranked.select("doc", "mark", "at", "words", F.col("rank").alias("left"))
+        # Repeated rows of a document have equal ranks, so one of them is enough.
+        after = ranked.select(
             "doc",
             "mark",
-            (F.col("at") - 1).alias("at"),
-            F.col("name").alias("then"),
+            F.col("at").alias("from"),
             F.col("words").alias("others"),
-            F.col("last").alias("end"),
-        )
-        # Repeated rows of a document have equal names, so one of them is enough.
-        now = (
-            repeated.drop("later")
-            .join(after.dropDuplicates(["doc", "mark", "at"]), ["doc", "mark", "at"])
-            .filter(F.least("words", "others") < min_words)
-            .select(
-                "doc",
-                "mark",
-                "at",
-                _name(F.concat("name", "then")).alias("name"),
-                F.least(F.lit(min_words), F.col("words") + F.col("end")).alias("words"),
-                F.col("end").alias("last"),
+            F.col("rank").alias("right"),
+        ).dropDuplicates(["doc", "mark", "from"])
+        for step in range(1, min(width, min_words - width) + 1):
+            sums = F.transform(
+                "others", lambda n: F.least(F.lit(min_words), n + F.element_at("words", step))
             )
-        )
-        width += 1
+            ranked = _intervals(
+                before.join(after.withColumn("at", F.col("from") - step), ["doc", "mark", "at"])
+                .filter(F.least(F.element_at("words", -1), F.element_at("others", -1)) < min_words)
+                .select(
+                    "doc",
+                    "mark",
+                    "at",
+                    "left",
+                    "right",
+                    F.concat(F.slice("words", 1, step), sums).alias("words"),
+                ),
+                "left",
+                "right",
+            )
+            found = found.union(runs(width + step))
+        width *= 2
     return found.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(
         F.collect_set("run").alias("_runs")
     )
