@@ -7,11 +7,12 @@ the key. A query is sent to its own window and ``REACH`` windows on either side,
 on every curve; what these windows find is merged and reranked by the exact
 cosine in double precision.
 
-Windows are shares of the rows, not numbers of rows: vectors without structure
-have neighbours barely nearer than the rest, and a window of fixed size would
-lose them as the table grows. Twelve curves at five windows of 24 keep the recall
-of the five nearest above 0.98 on the test tables (README). Nothing is fitted:
-projections and shifts follow from the length of the vectors alone.
+Windows are shares of the rows, the same at every size, not numbers of rows: vectors
+without structure have neighbours barely nearer than the rest, and a window of fixed
+size would lose them as the table grows. A query is scored against five windows of 36
+on each of twelve curves (recall and cost in the README). Only a table of fewer rows
+than 36 answers has fewer windows, so that a window can hold an answer. Nothing is
+fitted: projections and shifts follow from the length of the vectors alone.
 
 Equal vectors are one candidate that keeps its smallest ids, as many as an answer
 can use, so a common vector neither fills a window nor travels often.
@@ -32,10 +33,9 @@ from reviewloom.llm.common import checkpointed, small_side, whole_groups
 CURVES = 12
 DIMS = 8
 DEPTH = 7  # bits per dimension; DIMS * DEPTH must fit a long
-BLOCKS = 24
+BLOCKS = 36
 REACH = 2
 SEED = 20240229
-BLOCK_ROWS = 256  # fewer rows have fewer windows, so a small table is searched whole
 TASK_ROWS = 4096  # a window of more rows is searched by several tasks
 # Twice this many standard deviations of a projected unit vector span the box.
 SPREAD = 3.6
@@ -200,7 +200,7 @@ def nearest_neighbors(
         .groupBy("length", "curve")
         .agg(
             F.percentile_approx("key", shares).alias("bounds"),
-            F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.count("*") / BLOCK_ROWS))).alias(
+            F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.count("*") / keep))).alias(
                 "blocks"
             ),
             F.count("*").alias("rows"),

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from reviewloom.llm import neighbors
 from reviewloom.llm.caps import embedding_groups
 from reviewloom.llm.neighbors import hilbert_keys, nearest_neighbors
 from reviewloom.llm.urls import judge_urls
@@ -69,9 +70,9 @@ def test_embedding_groups_equal_brute_force(vectors):
     assert sorted(found, key=str) == sorted(expected, key=str)
 
 
-def test_neighbors_in_one_window_are_exact(vectors):
+def test_neighbors_in_one_window_are_exact(vectors, monkeypatch):
     rows, frame = vectors
-    # Fewer rows than two windows hold: searched whole.
+    monkeypatch.setattr(neighbors, "BLOCKS", neighbors.REACH)  # every query reaches all windows
     some = {(i, tuple(v)) for i, v, *_ in rows[:250] + rows[520:] if i is not None and usable(v)}
     frame = frame.filter("vec_id < 250 or vec_id >= 520")
     found = {}
@@ -87,20 +88,39 @@ def test_neighbors_in_one_window_are_exact(vectors):
         np.testing.assert_allclose([found[i][k][1] for k in range(1, 6)], [-s for s, _ in near], rtol=1e-12)
 
 
-def test_neighbors_recall(spark):
+@pytest.mark.parametrize("size, clusters", [(300, None), (1500, None), (6000, None), (3000, 40)])
+def test_neighbors_recall(spark, size, clusters):
+    """The same share of windows at every size; each answer is scored by its exact cosine."""
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((6000, 64)).astype(np.float32)
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = rng.standard_normal((size, 64))
+    if clusters:
+        x = rng.standard_normal((clusters, 64))[rng.integers(0, clusters, size)] + 0.3 * x
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     found = {}
-    for r in nearest_neighbors(frame).collect():
-        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for r in nearest_neighbors(frame, "vec_id % 20 = 0").collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
     hits = 0
-    for q in range(0, 6000, 50):
+    for q in range(0, size, 20):
         score = y @ y[q]
         score[q] = -2
-        hits += len(found[q] & set(np.argsort(-score)[:5].tolist()))
-    assert hits / (5 * 120) >= 0.9
+        assert len(found[q]) == 5
+        np.testing.assert_allclose([score[j] for j in found[q]], list(found[q].values()), rtol=1e-9)
+        hits += len(found[q].keys() & set(np.argsort(-score)[:5].tolist()))
+    assert hits / (5 * len(found)) >= (0.99 if clusters else 0.9)
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 12, 40])
+def test_neighbors_of_few_rows_are_full(spark, size):
+    x = np.random.default_rng(size).standard_normal((size, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbors(frame, "vec_id % 2 = 0").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(v) == min(5, size - 1) for v in found.values())
+    assert len(found) == ((size + 1) // 2 if size > 1 else 0)
 
 
 def test_hilbert_neighbours_touch():
