@@ -9,9 +9,9 @@ cosine in double precision.
 
 Windows are shares of the rows, the same at every size, not numbers of rows: vectors
 without structure have neighbours barely nearer than the rest, and a window of fixed
-size would lose them as the table grows. A query is scored against five windows of 36
+size would lose them as the table grows. A query is scored against five windows of 30
 on each of twelve curves (recall and cost in the README). Only a table of fewer rows
-than 36 answers has fewer windows, so that a window can hold an answer. Nothing is
+than 30 answers has fewer windows, so that a window can hold an answer. Nothing is
 fitted: projections and shifts follow from the length of the vectors alone.
 
 Equal vectors are one candidate that keeps its smallest ids, as many as an answer
@@ -33,7 +33,7 @@ from reviewloom.llm.common import checkpointed, small_side, whole_groups
 CURVES = 12
 DIMS = 8
 DEPTH = 7  # bits per dimension; DIMS * DEPTH must fit a long
-BLOCKS = 36
+BLOCKS = 30
 REACH = 2
 SEED = 20240229
 TASK_ROWS = 4096  # a window of more rows is searched by several tasks
