@@ -43,7 +43,10 @@ CANDIDATE = (
     r"|(?:\G|(?<![A-Za-z0-9+(]))[+(]?[0-9][0-9 ().:/-]*[0-9]"
 )
 BLOCK = 128  # appending copies a list, so spans are listed block by block
-CONTEXT = 48  # code points looked at on either side of an instance
+# Code points looked at on either side of an instance, whatever stands there. Without a
+# bound, every instance in a long list without blanks would carry the list.
+CONTEXT = 48
+FOLLOWING = rf"(?=([\s\S]{{0,{CONTEXT}}}))"
 
 SUPPORT = 3  # distinct instances a pattern needs
 SMOOTHING = 2.0
@@ -84,43 +87,57 @@ SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:st
 
 
 def _located(text: Column, pattern: str, kind: Column) -> Column:
-    """All matches as spans with what stands before and after each.
+    """All matches as spans with what the text holds before and after each.
 
-    ``pieces`` alternates with ``found``: piece, match, piece, match, ..., piece.
+    ``pieces`` alternates with ``found``: piece, match, piece, match, ..., piece. The
+    state carries the end of the text so far, earlier matches included.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.struct(pieces.alias("pieces"), found.alias("found"))
+    after = F.regexp_extract_all(text, F.lit(f"(?:{pattern}){FOLLOWING}"), F.lit(1))
+    both = F.struct(pieces.alias("pieces"), found.alias("found"), after.alias("after"))
 
     def spans(parts: Column) -> Column:
-        pieces, found = parts["pieces"], parts["found"]
+        pieces, found, after = parts["pieces"], parts["found"], parts["after"]
         none = F.array().cast(f"array<{SPAN}>")
 
         def step(state: Column, i: Column) -> Column:
             piece, match = F.get(pieces, i), F.get(found, i)
             first = state["at"] + F.length(piece)
             last = first + F.length(match)
+            before = F.right(F.concat(state["tail"], piece), F.lit(CONTEXT))
             span = F.struct(
                 kind.alias("kind"),
                 first.alias("start"),
                 last.alias("end"),
                 match.alias("value"),
-                F.right(piece, F.lit(CONTEXT)).alias("before"),
-                F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
+                before.alias("before"),
+                F.get(after, i).alias("after"),
+            )
+            return F.struct(
+                last.alias("at"),
+                F.right(F.concat(before, match), F.lit(CONTEXT)).alias("tail"),
+                F.array_append(state["out"], span).alias("out"),
             )
-            return F.struct(last.alias("at"), F.array_append(state["out"], span).alias("out"))
 
         def block(state: Column, first: Column) -> Column:
             numbers = F.sequence(first, F.least(first + (BLOCK - 1), F.size(found) - 1))
-            inner = F.aggregate(numbers, F.struct(state["at"].alias("at"), none.alias("out")), step)
+            begin = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), none.alias("out"))
+            inner = F.aggregate(numbers, begin, step)
             joined = lambda done: F.struct(
-                done["at"].alias("at"), F.array_append(state["out"], done["out"]).alias("out")
+                done["at"].alias("at"),
+                done["tail"].alias("tail"),
+                F.array_append(state["out"], done["out"]).alias("out"),
             )
             return F.get(F.transform(F.array(inner), joined), F.lit(0))
 
         blocks = F.when(
             F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK))
         ).otherwise(F.array().cast("array<int>"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        start = F.struct(
+            F.lit(0).alias("at"),
+            F.lit("").alias("tail"),
+            F.array().cast(f"array<array<{SPAN}>>").alias("out"),
+        )
         return F.aggregate(blocks, start, block, lambda state: F.flatten(state["out"]))
 
     # A lambda over one value keeps the two passes over the text from being repeated.

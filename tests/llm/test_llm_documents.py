@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reviewloom.llm import suffix
+from reviewloom.llm import pii, suffix
 from reviewloom.llm.language import UNKNOWN, identify, in_known_language
 from reviewloom.llm.lines import cut_lines, repeated_lines, without_repeated_lines
 from reviewloom.llm.packing import encoder, fill, pack, plan_windows
@@ -177,6 +177,27 @@ def test_what_is_learned_teaches_further_patterns(spark):
     assert spans[50] == "phone:18:29" and spans[51] == spans[52] == ""
 
 
+def test_contexts_reach_across_other_numbers(spark):
+    texts = [f"line {i} phone: +1555123{i:04d} x{i}" for i in range(10, 30)]
+    texts += ["line 77 phone: 5551234567 zz", "7654321, line 78 phone: 5559999888, 5553332221", "see 5559999888 there"]
+    texts += ["row 77 total: 8881234567 zz"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in span_digest(rows).collect()}
+    assert spans[20] == "phone:15:25" and spans[21] == "phone:24:34" and spans[22] == "phone:4:14"
+    assert spans[23] == ""
+
+
+def test_contexts_are_the_text_around_a_match(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("12a \n,\u00e9\U0001f600", k=draw.randint(0, 400))) for _ in range(200)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in frame.select("text", pii._located(F.col("text"), "[0-9]++", F.lit("x")).alias("found")).collect():
+        assert [(s.start, s.end) for s in r.found] == [m.span() for m in re.finditer("[0-9]+", r.text)]
+        for s in r.found:
+            assert s.before == r.text[max(0, s.start - pii.CONTEXT) : s.start]
+            assert s.after == r.text[s.end : s.end + pii.CONTEXT]
+
+
 def test_columns_of_any_name(docs, texts):
     clashing = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(["_id", "_hash", "_spans", "_doc", "_mark", "_runs", "doc", "at"])))
     for stage in (masked, without_repeated_lines):
