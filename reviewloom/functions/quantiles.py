@@ -10,6 +10,10 @@ shuffled, tell which cells hold a wanted rank; only these cells are split by the
 digit, and in the end only values equal in both are sorted. Digits follow from the
 value alone, so no outlier can change how the other values are cut.
 
+The descent shuffles the histogram several times. Groups that one task can sort do
+without it: groups are counted in bins, and those of a bin with few rows are sorted
+whole, in one shuffle. The rest, and a table without groups, take the descent.
+
 Sums of further columns of the histogram, such as the parts of rates, are carried
 through the totals: ranks and sums read the same shuffle of one scan.
 
@@ -33,6 +37,10 @@ ROWS = "_rows"
 _DIGITS = ["_d0", "_d1"]
 # Digits after the point of interpolated whole numbers.
 _FRACTION = 10
+# Rows of a bin whose groups are sorted whole, and number of bins. Neither changes
+# results; the full bins are broadcast.
+_WHOLE_ROWS = 1 << 16
+_BINS = 1 << 16
 
 
 def value_histogram(
@@ -148,10 +156,59 @@ def sliced_quantiles(
     of nulls alone has null quantiles.
     """
     keys, totals = list(keys), list(totals)
+    if not keys:
+        return _descended(hist, probs, keys, interpolation, totals)
+    binned = hist.withColumn("_bin", F.pmod(F.xxhash64(*keys), F.lit(_BINS)).cast("int"))
+    full = (
+        binned.groupBy("_bin")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .where(F.col("_size") > _WHOLE_ROWS)
+        .select("_bin")
+    )
+    rest = binned.join(F.broadcast(full), "_bin", "left_anti").drop("_bin")
+    large = binned.join(F.broadcast(full), "_bin", "left_semi").drop("_bin")
+    return _sorted(rest, probs, keys, interpolation, totals).unionByName(
+        _descended(large, probs, keys, interpolation, totals)
+    )
+
+
+def _counted() -> Column:
+    """Rows with a value that a row of the histogram stands for."""
+    known = F.when(F.col(VALUE).isNotNull(), F.col(ROWS)).otherwise(F.lit(0).cast("bigint"))
+    return known.alias("_counted")
+
+
+def _sorted(
+    hist: DataFrame,
+    probs: Sequence[float],
+    keys: list[str],
+    interpolation: str,
+    totals: list[str],
+) -> DataFrame:
+    """``sliced_quantiles`` of groups that one task can sort."""
+    group = Window.partitionBy(*keys).orderBy(VALUE)
+    every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = hist.select(*keys, VALUE, _counted(), *totals).withColumns(
+        {
+            "_before": F.sum("_counted").over(_so_far(group)) - F.col("_counted"),
+            "_total": F.sum("_counted").over(every),
+        }
+    )
+    picks = _picks(probs, interpolation, hist.schema[VALUE].dataType)
+    return ranked.groupBy(*keys).agg(*picks, *[F.sum(c).alias(c) for c in totals])
+
+
+def _descended(
+    hist: DataFrame,
+    probs: Sequence[float],
+    keys: list[str],
+    interpolation: str,
+    totals: list[str],
+) -> DataFrame:
+    """``sliced_quantiles`` by descent through the digits, for groups of any size."""
     kind = hist.schema[VALUE].dataType
-    counted = F.when(F.col(VALUE).isNotNull(), F.col(ROWS)).otherwise(F.lit(0).cast("bigint"))
     digits = [c.alias(name) for c, name in zip(_digits(F.col(VALUE)), _DIGITS)]
-    rows = hist.select(*keys, VALUE, counted.alias("_counted"), *digits, *totals)
+    rows = hist.select(*keys, VALUE, _counted(), *digits, *totals)
     wanted = _wanted(probs, interpolation)
 
     group = Window.partitionBy(*(keys or [F.lit(0)]))

@@ -86,14 +86,19 @@ def summarise_histogram(
     """
     sums = sums or {}
     parts = _parts([*rates.values(), *sums.values()])
-    found = sliced_quantiles(hist, [0.5], [*keys, _MEASURE], totals=[ROWS, *parts])
-    first = F.col(_MEASURE) == 0
-    spread = [F.max(F.when(first, F.col(c))).alias(c) for c in [ROWS, *parts]]
-    spread += [
-        F.max(F.when(F.col(_MEASURE) == i, F.col("_q0"))).cast("double").alias(name)
-        for i, name in enumerate(medians)
-    ]
-    return found.groupBy(*keys).agg(*spread).select(
+    if len(medians) == 1:
+        found = sliced_quantiles(hist, [0.5], keys, totals=[ROWS, *parts])
+        found = found.withColumn(medians[0], F.col("_q0").cast("double"))
+    else:
+        found = sliced_quantiles(hist, [0.5], [*keys, _MEASURE], totals=[ROWS, *parts])
+        first = F.col(_MEASURE) == 0
+        spread = [F.max(F.when(first, F.col(c))).alias(c) for c in [ROWS, *parts]]
+        spread += [
+            F.max(F.when(F.col(_MEASURE) == i, F.col("_q0"))).cast("double").alias(name)
+            for i, name in enumerate(medians)
+        ]
+        found = found.groupBy(*keys).agg(*spread)
+    return found.select(
         *keys,
         F.coalesce(F.col(ROWS), F.lit(0).cast("bigint")).alias(count),
         *[_rate(c).alias(name) for name, c in rates.items()],

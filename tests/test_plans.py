@@ -50,6 +50,22 @@ def records_read(spark, query, *args) -> int:
     return made or collected
 
 
+def records_shuffled(spark, run) -> int:
+    """Records that the stages of ``run`` write to shuffles."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written() -> int:
+        context.listenerBus().waitUntilEmpty()
+        empty = gateway.jvm.java.util.ArrayList()
+        none = gateway.new_array(gateway.jvm.double, 0)
+        found = context.statusStore().stageList(empty, False, False, none, empty)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
 def test_scans_read_only_needed_columns(spark, sf_dir):
     df = contract.queries()["game_monthly_reviews"](spark, sf_dir)
     needed = {"l_partkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linenumber", "l_linestatus"}
@@ -97,6 +113,21 @@ def test_both_rollups_read_the_reviews_once(spark, sf_dir):
         assert by_key(found) == by_key(expected)
 
 
+def test_small_groups_are_shuffled_once_after_their_histogram(spark):
+    """Many games of a review or two a month: the histogram, its bins, and one sort."""
+    rows = 40000
+    reviews = spark.range(0, rows, 1, 4).selectExpr(
+        "id div 4 AS appid",
+        "timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(25 * (id % 4)) AS review_date",
+        "double(id % 50) AS playtime_hours_at_review",
+        "id % 2 AS voted_up",
+        "id % 3 AS received_helpful_vote",
+        "0L AS written_during_early_access",
+    )
+    months = summaries.game_monthly_reviews(reviews)
+    assert records_shuffled(spark, months.collect) <= 3 * rows
+
+
 def test_lag_stats_join_once(spark, sf_dir):
     text = final_plan(contract.queries()["days_since_release_stats"](spark, sf_dir))
     assert len(scanned(text)) == 2

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.functions import quantiles
 from reviewloom.functions.quantiles import VALUE, _digits, sliced_quantiles, value_histogram
 from reviewloom.operators.buckets import bucket_by_quantiles, quantile_report
 
@@ -166,3 +167,34 @@ def test_sums_cover_rows_without_a_value(spark):
         "b": (None, 1, 0),
         None: (2.0, 1, 5),
     }
+
+
+@pytest.mark.parametrize("interpolation", ["linear", "nearest"])
+def test_groups_in_full_bins_are_not_sorted_whole(spark, monkeypatch, interpolation):
+    """One group over the bound, a null one, one without values, and many small ones."""
+    monkeypatch.setattr(quantiles, "_WHOLE_ROWS", 100)
+    monkeypatch.setattr(quantiles, "_BINS", 64)
+    whole = []
+    plain = quantiles._sorted
+    monkeypatch.setattr(quantiles, "_sorted", lambda h, *a: whole.append(h) or plain(h, *a))
+    rng = np.random.default_rng(11)
+    groups = {"large": [float(v) for v in rng.lognormal(3, 3, 5000)], None: [1.0, 4.0, 4.0]}
+    groups |= {f"g{i}": [float(v) for v in rng.integers(0, 9, 1 + i % 7)] for i in range(300)}
+    rows = [(k, v, 1) for k, values in groups.items() for v in values]
+    rows += [("empty", None, 1), ("large", None, 1), ("g5", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, s int")
+    hist = value_histogram(df, F.col("v"), ["k"], [F.sum("s").alias("s")])
+    found = sliced_quantiles(hist, [0.5, 0.9], ["k"], interpolation, ["_rows", "s"])
+    found = {r.k: r for r in found.collect()}
+    assert set(found) == {*groups, "empty"}
+    for key, values in groups.items():
+        if interpolation == "linear":
+            expected = np.quantile(values, [0.5, 0.9])
+        else:
+            expected = [_nearest(values, p) for p in (0.5, 0.9)]
+        row, size = found[key], len(values) + (key in ("large", "g5"))
+        assert (row._q0, row._q1) == pytest.approx(tuple(expected), rel=1e-12)
+        assert (row._rows, row.s) == (size, size)
+    assert tuple(found["empty"]) == ("empty", None, None, 1, 1)
+    sizes = {r.k: r["count"] for r in whole[0].groupBy("k").count().collect()}
+    assert "large" not in sizes and max(sizes.values()) <= 100 and len(sizes) > 150
